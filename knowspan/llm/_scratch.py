@@ -48,3 +48,9 @@ class Scratch:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def others(df: DataFrame, added: list[str]) -> list[str]:
+    """The columns of ``df`` that stay where ``added`` ones replace those of the same name."""
+    lower = {c.lower() for c in added}
+    return [c for c in df.columns if c.lower() not in lower]

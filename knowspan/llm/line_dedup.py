@@ -15,7 +15,7 @@ splits its hot keys.
 Nulls: a null or empty text is one empty line, and its kept text is empty. A row with a null doc_id
 loses every line that another document holds. Repeated rows of one doc_id are one document to the
 rule: none loses lines to the other. Lines shorter than ``min_chars`` always stay. Empty input: no
-rows. Extra columns pass through ``dedup``, whatever their names.
+rows. Extra columns pass through ``dedup``; those named n_lines or n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowspan.llm import _text as tx
-from knowspan.llm._scratch import Scratch, documents
+from knowspan.llm._scratch import Scratch, documents, others
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -165,9 +165,9 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, min_char
 
     ``digest``: only doc_id, n_lines, n_dropped and kept_sha256."""
     lost = drops(docs, Scratch(spark, "lines"), batches, min_chars)
-    names = ["doc_id"] if digest else docs.columns
+    names = ["doc_id"] if digest else others(docs, ["n_lines", "n_dropped"])
     joined = docs.alias("d").join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left")
-    joined = joined.select(*(F.col(f"d.`{c}`") for c in names), F.col("d.text").cast("string").alias("_text"), F.col("l.hashes").alias("_hashes"))
+    joined = joined.select(*(F.col(f"d.`{c}`") for c in names), F.col("d.text").cast("string").alias("_knowspan_text"), F.col("l.hashes").alias("_knowspan_hashes"))
     at = len(names)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

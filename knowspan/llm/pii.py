@@ -10,7 +10,7 @@ format and valid in it, equal values get equal pseudonyms in every document, and
 different ones. Punctuation, spacing and the case of letters stay.
 
 Nulls: a null text stays null, with no matches. Texts are read whole. Rows are independent, so nulls
-elsewhere, repeated rows and empty tables need no rule. Extra columns pass through.
+elsewhere, repeated rows and empty tables need no rule. Extra columns pass through; those named pii_kinds or n_pii are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowspan.llm._scratch import documents
+from knowspan.llm._scratch import documents, others
 
 KEY = "knowspan"
 ROUNDS = 10
@@ -195,7 +195,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The columns of ``docs`` with text rewritten, and pii_kinds (of each valid match in order) and n_pii."""
-    names = docs.columns
+    names = others(docs, ["pii_kinds", "n_pii"])
     text = F.col("text").cast("string")
     seen = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), text.alias("_text"))
     seen = seen.withColumn("_match", F.when(F.col("_text").rlike(HINT), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))

@@ -13,7 +13,7 @@ batches of the executors.
 Nulls: a null or empty text has no words, so only its bins count; it gets a score like any other. Rows
 with a null doc_id are scored but never fitted on. Repeated rows are scored each. Labels without a
 document, null labels and empty tables are allowed: with no label, or only one grade of them, the
-score is 0 and everything is kept. Extra columns pass through ``score``.
+score is 0 and everything is kept. Extra columns pass through ``score``; those of the names it adds are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from knowspan.llm import _labelled
 from knowspan.llm import _text as tx
-from knowspan.llm._scratch import documents
+from knowspan.llm._scratch import documents, others
 
 SAMPLE = 4_000
 DIM = 1 << 15
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", grades: in
 
 def score(docs: DataFrame, model: Ordinal, tail: int = 1) -> DataFrame:
     """The columns of ``docs`` and score, expected_grade, tail_probability = P(grade >= tail)."""
-    names = docs.columns
+    added = ["score", "expected_grade", "tail_probability"]
+    names = others(docs, added)
     at = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +149,11 @@ def score(docs: DataFrame, model: Ordinal, tail: int = 1) -> DataFrame:
                 out.append(np.bincount(rows, model.weights[cols] * values, j - i))
             scores = np.concatenate(out)
             tails = model.tails(scores)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores), pa.array(tails.sum(1)), pa.array(tails[:, tail - 1])], [*names, "score", "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores), pa.array(tails.sum(1)), pa.array(tails[:, tail - 1])], [*names, *added])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double, expected_grade double, tail_probability double"
-    return docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string").alias("_knowspan_text")).mapInArrow(run, schema)
 
 
 def select(docs: DataFrame, labels: DataFrame, keep: float = KEEP, tail: int = 1) -> DataFrame:
