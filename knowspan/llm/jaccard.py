@@ -18,13 +18,17 @@ leaf, the pairs that are not yet in one component are compared, but those whose
 differ by more than r, or whose sizes can't link. Every link between two components is found this way,
 so the components are exact.
 
+Before whole sets are compared, windows are: up to the nearer of their two ends, each shingle that only
+one window holds is in only one set. A pair with more of those than linked sets can differ by is settled
+by a tenth of the shingles.
+
 Equal sets are one class from the start, represented by its smallest doc_id. Shingles are hashes of 56
 bits (a 64-bit hash cut); equality of sets is by 128 bits and size.
 
 Nulls: a null text, or one without words, has an empty set, links with nothing and is its own component.
 A text with fewer words than a shingle has its whole sequence as the one shingle. Rows with a null doc_id
-take no part. Rows that repeat a doc_id are one document with the set of the largest of their texts. Empty
-input: no rows. Extra columns are ignored (kept by ``keep_one``).
+take no part. Rows that repeat a doc_id are one document that has the links of each of its texts, and the
+largest of their sizes. Empty input: no rows. Extra columns are ignored (kept by ``keep_one``).
 """
 
 from __future__ import annotations
@@ -41,12 +45,12 @@ from knowspan.llm._components import components
 from knowspan.llm._scratch import Scratch, documents
 
 #: Regions with more documents get further pivots; smaller ones compare the pairs that are left.
-LEAF = 64
+LEAF = 256
 LEVELS = 3
 #: A shingle in this share of a batch's documents, and in at least so many, is common.
-COMMON, COMMON_LEAST = 0.004, 8
+COMMON, COMMON_LEAST = 0.001, 4
 #: Of the common shingles, so many of the commonest have their place in the order; others go by hash.
-COMMON_MOST = 200_000
+COMMON_MOST = 400_000
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
@@ -94,7 +98,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, threshold: tuple[int, int], size: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2 and window: the first pivots of each document."""
+    """doc_id, n, h1, h2 and window: the first pivots of each document, as their places in the order, ascending."""
     order = np.argsort(common, kind="stable")
     keys, places = common[order].view(_U), order.astype(_U)
     num, den = threshold
@@ -112,11 +116,10 @@ def windows(docs: DataFrame, threshold: tuple[int, int], size: int, common: np.n
                     near = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
                     is_common = keys[near] == shingles
                     rank[is_common] = (_U(1) << _U(62)) + places[near[is_common]]
-                    turn = np.lexsort((rank, doc))
-                    shingles = shingles[turn]
+                    rank = rank[np.lexsort((rank, doc))]
                 reach = np.where(n > 0, n - -(-n * num // den) + 1, 0)
-                first = np.arange(len(shingles)) - np.repeat(at[:-1], n) < np.repeat(reach, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]), pa.int32()), pa.array(shingles[first].view(np.int64)))
+                first = np.arange(len(rank)) - np.repeat(at[:-1], n) < np.repeat(reach, n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]), pa.int32()), pa.array(rank[first].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n", "h1", "h2", "window"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, window array<bigint>")
@@ -130,8 +133,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, rows: int, size: int) -> DataFrame:
             for own, shingles, at in _sets(batch, size):
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64)))], ["doc_id", "shingles"])
 
-    found = _texts(docs).join(sized(ids, rows), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
-    return found.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles"))
+    return _texts(docs).join(sized(ids, rows), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 class Join:
@@ -141,6 +143,7 @@ class Join:
         self.scratch, self.docs, self.size, self.leaf, self.levels = Scratch(spark, "jaccard"), docs, size, leaf, levels
         self.num, self.den = threshold
         self.steps = 0
+        self.windows: DataFrame | None = None
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -150,10 +153,21 @@ class Join:
     def radius(self) -> float:
         return (self.den - self.num) / self.den + 1e-9
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Adds n_a, n_b, inter to distinct pairs (a, b), and their links to the edges."""
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) that sizes and windows leave open."""
+        side = lambda c: self.windows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("window").alias(f"w_{c}"))
+        met = pairs.join(side("a"), "a").where("size(w_a) > 0").join(side("b"), "b")
+        met = met.where(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
+        end = F.least(F.element_at("w_a", -1), F.element_at("w_b", -1))
+        held = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_end")))
+        odd = held("w_a") + held("w_b") - 2 * F.size(F.array_intersect("w_a", "w_b"))
+        met = met.withColumn("_end", end).where(odd * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num))
+        return met.select("a", "b").distinct()
+
+    def verify(self, pairs: DataFrame, sift: bool = True) -> DataFrame:
+        """n_a, n_b, inter of distinct pairs (a, b), or of the plausible ones; their links join the edges."""
         self.steps += 1
-        pairs = self.scratch.table(f"pairs-{self.steps}", pairs)
+        pairs = self.scratch.table(f"pairs-{self.steps}", self.plausible(pairs) if sift else pairs)
         ids = self.scratch.table(f"ids-{self.steps}", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         sets = self.scratch.table(f"sets-{self.steps}", sets_of(self.docs, ids, ids.count(), self.size))
         one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a"))
@@ -164,7 +178,7 @@ class Join:
         self.scratch.drop(f"sets-{self.steps}")
         linked = done.where(self.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b")
         self.edges = linked if self.edges is None else self.edges.unionByName(linked)
-        return done
+        return done.groupBy("a", "b").agg(F.max(F.struct("inter", "n_a", "n_b")).alias("_s")).select("a", "b", "_s.*")
 
     def relabel(self) -> None:
         self.labels = components(self.edges, self.scratch, f"stars-{self.steps}")
@@ -191,7 +205,7 @@ class Join:
         pivots = self.scratch.table(f"pivots-{self.steps}", chosen.unionByName(always).distinct())
         near = members.join(pivots, "region")
         asked = near.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-        known = self.verify(asked).select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), self.distance(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("_d"))
+        known = self.verify(asked, sift=False).select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), self.distance(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("_d"))
         near = near.join(known, ["pivot", "doc_id"], "left").withColumn("_d", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("_d")))
         home = near.groupBy("region", "doc_id").agg(F.min("_d").alias("_home"))
         window = near.join(home, ["region", "doc_id"]).where(F.col("_d") <= F.col("_home") + 2 * self.radius())
@@ -211,7 +225,7 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each document."""
         found = windows(self.docs, (self.num, self.den), self.size, common_shingles(self.docs, self.size))
-        every = self.scratch.table("windows", found)
+        every = self.windows = self.scratch.table("windows", found)
         classes = every.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"))
         homes = every.drop("window").join(classes, ["n", "h1", "h2"], "left")
         homes = self.scratch.table("classes", homes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class")))
@@ -222,14 +236,10 @@ class Join:
         pairs = regions.where("held = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b"))  # both seats are known
         many = regions.where("held > 2").select("region", "pivot")
         members = self.scratch.table("members", seats.join(sized(many, many.count()), "region"))
-        sizes = homes.select("doc_id", "n_shingles")
         stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        stars = pairs.unionByName(stars).distinct()
-        for side in "ab":
-            stars = stars.join(sizes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-        stars = self.scratch.table("stars", stars)
-        can = F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num
-        known = self.verify(stars.where(can).select("a", "b"))
+        known = self.verify(pairs.unionByName(stars).distinct())
+        again = homes.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+        self.edges = self.edges.unionByName(again.select("a", "b"))  # of repeated doc_ids
         self.relabel()
         known = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), self.distance(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("d"))
         placed = self.open_regions(members).join(known, ["pivot", "doc_id"], "left")
@@ -241,8 +251,7 @@ class Join:
                 break
             self.finish(open_.where(F.col("held") <= self.leaf))
             open_ = self.split(large)
-        if not open_.isEmpty():
-            self.finish(open_)
+        self.finish(open_)
         last = self.labels.select(F.col("id").alias("class"), "component")
         joined = homes.join(last, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
         return joined.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
