@@ -82,7 +82,7 @@ def q_conditional_counts(spark, d):
 
 def q_daily_usage(spark, d):
     e = table(spark, d, "events").where(F.col("ts") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
-    return e.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
+    return e.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
 def _prices(spark):
@@ -165,7 +165,7 @@ def q_progress(spark, d):
 
 def q_hot_prompts(spark, d):
     e = table(spark, d, "events").where(F.col("ts") >= F.date_sub(F.lit(AS_OF).cast("date"), 30))
-    per = e.where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("opens"), F.round(F.avg("value"), 4).alias("mean"))
+    per = e.where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("opens"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
     return per.orderBy(F.desc("opens"), "user_id").limit(10)
 
 
@@ -189,7 +189,7 @@ SQL = {
 WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 512) GROUP BY 1""",
     "g02_status_counts": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2",
     "g03_conditional_counts": "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in ("view", "click", "purchase", "error")) + ", round(100.0 * count(*) FILTER (WHERE event_type = 'error') / greatest(count(*), 1), 1)::DOUBLE AS error_pct FROM events GROUP BY 1",
-    "g04_daily_usage": "SELECT ts::DATE AS day, event_type AS model, count(*) AS calls, round(sum(value), 3) AS total, round(avg(value), 4) AS mean FROM events WHERE ts >= DATE '2024-01-01' GROUP BY 1, 2",
+    "g04_daily_usage": "SELECT ts::DATE AS day, event_type AS model, count(*) AS calls, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events WHERE ts >= DATE '2024-01-01' GROUP BY 1, 2",
     "g05_cost_by_day": """WITH p(event_type, i, o) AS (VALUES ('view', 3.0::DOUBLE, 15.0::DOUBLE), ('click', 0.25, 1.25), ('purchase', 15.0, 75.0)),
 g AS (SELECT ts::DATE AS day, event_type, count(*) AS n, sum(event_id % 1000)::DOUBLE AS ti, sum(user_id * 10)::DOUBLE AS tout FROM events WHERE event_type <> 'signup' OR user_id % 2 = 0 GROUP BY 1, 2),
 c AS (SELECT g.*, round((ti * i + tout * o) / 1e6, 4) AS cost FROM g LEFT JOIN p USING (event_type))
@@ -208,6 +208,6 @@ SELECT p_partkey, first_value(p_partkey) OVER (PARTITION BY key ORDER BY p_size
     "g35_dedup_keep_min": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text) HAVING count(*) > 1",
     "g22_fingerprint": "SELECT count(*) AS n, max(doc_id) AS last FROM documents WHERE n_chars >= 512",
     "g34_progress": "SELECT lang, count(*) AS total, count(quality) AS done, round(100.0 * count(quality) / greatest(count(*), 1), 1)::DOUBLE AS pct, coalesce(sum(quality), 0)::BIGINT AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
-    "g33_hot_prompts": "SELECT user_id, count(*) AS opens, round(avg(value), 4) AS mean FROM events WHERE ts >= DATE '2024-01-01' AND event_type = 'click' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "g33_hot_prompts": "SELECT user_id, count(*) AS opens, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events WHERE ts >= DATE '2024-01-01' AND event_type = 'click' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "g20_freshness": "SELECT CASE WHEN age <= 30 THEN 'fresh' WHEN age <= 180 THEN 'recent' WHEN age <= 730 THEN 'old' ELSE 'stale' END AS bucket, count(*) AS n FROM (SELECT date_diff('day', o_orderdate::DATE, (SELECT max(o_orderdate)::DATE FROM orders)) AS age FROM orders) t GROUP BY 1",
 }
