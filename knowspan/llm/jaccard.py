@@ -9,13 +9,14 @@ Its window reaches over the first n - ceil(t n) + 1 of them: documents that link
 that the first shingle they share lies in the windows of both. Each shingle with two or more documents
 in its window is a region.
 
-Within a region, distances are informative. Its smallest document is the first pivot, compared with all
-others exactly; those within r of it are linked through it, and nothing else about them is asked if the
-region is then one component. Other regions go on: a region larger than ``LEAF`` takes more pivots, its
-documents go to the Voronoi region of the nearest, and by the triangle inequality to every other one
-whose pivot is at most 2 r farther than the nearest, and those regions are joined in the same way. In a
-leaf, the pairs that are not yet in one component are compared, but those whose distances to the pivot
-differ by more than r, or whose sizes can't link. Every link between two components is found this way,
+Within a region, distances are informative. Its document with the fewest uncommon shingles (the most
+central of a family of copies; the smallest doc_id of those) is its pivot, compared with all others;
+those within r of it are linked through it, and nothing else about them is asked if the region is then
+one component. Other regions go on. In a small one the pairs that aren't in one component yet are
+compared, but those whose distances to the pivot differ by more than r, or whose sizes can't link. A
+region of more than ``LEAF`` documents is cut into rings by the distance to its pivot and rings into
+blocks: by the triangle inequality a ring meets only those at most r away, which is the window of its
+boundary, and blocks of one component don't meet. Every link between two components is found this way,
 so the components are exact.
 
 Before whole sets are compared, windows are: up to the nearer of their two ends, each shingle that only
@@ -36,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,8 @@ from knowspan.llm import _text as tx
 from knowspan.llm._components import components
 from knowspan.llm._scratch import Scratch, documents
 
-#: Regions with more documents get further pivots; smaller ones compare the pairs that are left.
+#: Regions with more documents are joined ring by ring in blocks of so many; smaller ones compare the pairs that are left.
 LEAF = 256
-LEVELS = 3
 #: A shingle in this share of a batch's documents, and in at least so many, is common.
 COMMON, COMMON_LEAST = 0.001, 4
 #: Of the common shingles, so many of the commonest have their place in the order; others go by hash.
@@ -98,7 +99,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, threshold: tuple[int, int], size: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2 and window: the first pivots of each document, as their places in the order, ascending."""
+    """doc_id, n, h1, h2, rare (shingles that aren't common) and window: the first pivots of each document, as their places in the order, ascending."""
     order = np.argsort(common, kind="stable")
     keys, places = common[order].view(_U), order.astype(_U)
     num, den = threshold
@@ -111,18 +112,20 @@ def windows(docs: DataFrame, threshold: tuple[int, int], size: int, common: np.n
                 with np.errstate(over="ignore"):
                     sums = np.concatenate([np.zeros((2, 1), _U), np.cumsum([tx.mix(shingles), tx.mix(shingles ^ _U(0xA5A5A5A5A5A5A5A5))], axis=1, dtype=_U)], 1) if len(shingles) else np.zeros((2, 1), _U)
                     prints = (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
+                rare = n.astype(np.int64)
                 rank = shingles.copy()  # ascending in each document already; the common ones go last
                 if len(keys) and len(shingles):
                     near = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
                     is_common = keys[near] == shingles
                     rank[is_common] = (_U(1) << _U(62)) + places[near[is_common]]
+                    rare = rare - np.bincount(doc[is_common], minlength=len(ids))
                     rank = rank[np.lexsort((rank, doc))]
                 reach = np.where(n > 0, n - -(-n * num // den) + 1, 0)
                 first = np.arange(len(rank)) - np.repeat(at[:-1], n) < np.repeat(reach, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]), pa.int32()), pa.array(rank[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n", "h1", "h2", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), pa.array(rare), lists], ["doc_id", "n", "h1", "h2", "rare", "window"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, window array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, rare bigint, window array<bigint>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rows: int, size: int) -> DataFrame:
@@ -136,11 +139,29 @@ def sets_of(docs: DataFrame, ids: DataFrame, rows: int, size: int) -> DataFrame:
     return _texts(docs).join(sized(ids, rows), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
+def intersections(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other; only shingles of both lists have columns."""
+    flat = [np.concatenate(sets).view(_U) if len(sets) else np.zeros(0, _U) for sets in (one, two)]
+    shared = np.intersect1d(*flat)
+    rows = [np.repeat(np.arange(len(sets)), [len(x) for x in sets]) for sets in (one, two)]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for a in range(0, len(shared), columns):
+        part, tables = shared[a : a + columns], []
+        for values, row, sets in zip(flat, rows, (one, two)):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            table = np.zeros((len(sets), len(part)), np.float32)
+            table[row[hit], at[hit]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
 class Join:
     """The state of one join: what is known of pairs and components."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, threshold: tuple[int, int], size: int, leaf: int, levels: int):
-        self.scratch, self.docs, self.size, self.leaf, self.levels = Scratch(spark, "jaccard"), docs, size, leaf, levels
+    def __init__(self, spark: SparkSession, docs: DataFrame, threshold: tuple[int, int], size: int, leaf: int):
+        self.scratch, self.docs, self.size, self.leaf = Scratch(spark, "jaccard"), docs, size, leaf
         self.num, self.den = threshold
         self.steps = 0
         self.windows: DataFrame | None = None
@@ -196,22 +217,43 @@ class Join:
         still = members.groupBy("region").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("held")).where("_x <> _y")
         return members.join(still.select("region", "held"), "region")
 
-    def split(self, members: DataFrame) -> DataFrame:
-        """Voronoi regions with windows of 2 r within each region of ``members`` (region, doc_id, n, component, d, held)."""
-        # one pivot for each component of a region, the more the larger the region; ties by hash, the same in every run
-        heads = members.groupBy("region", "component").agg(F.min("doc_id").alias("pivot"), F.first("held").alias("held"))
-        chosen = heads.where(F.pmod(F.xxhash64("pivot", F.lit(self.steps)), F.col("held")) < F.ceil(F.sqrt("held"))).select("region", "pivot")
-        always = heads.groupBy("region").agg(F.min("pivot").alias("pivot"))
-        pivots = self.scratch.table(f"pivots-{self.steps}", chosen.unionByName(always).distinct())
-        near = members.join(pivots, "region")
-        asked = near.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-        known = self.verify(asked, sift=False).select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), self.distance(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("_d"))
-        near = near.join(known, ["pivot", "doc_id"], "left").withColumn("_d", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("_d")))
-        home = near.groupBy("region", "doc_id").agg(F.min("_d").alias("_home"))
-        window = near.join(home, ["region", "doc_id"]).where(F.col("_d") <= F.col("_home") + 2 * self.radius())
-        self.relabel()
-        split = window.select(F.xxhash64("region", "pivot").alias("region"), "doc_id", "n", F.col("_d").alias("d"))
-        return self.scratch.table(f"voronoi-{self.steps}", self.open_regions(split))
+    def rings(self, members: DataFrame) -> None:
+        """Compare the documents of large regions (pivot, doc_id, n, component, d) in blocks.
+
+        The regions of one pivot are joined as one. Its documents fall into rings by their distance to the pivot, half of r
+        wide, and rings into blocks of about ``LEAF`` documents by hash; two blocks meet only if the triangle inequality lets
+        their rings and they aren't of one component. Only links leave a task."""
+        self.steps += 1
+        width = self.radius() / 2
+        docs = members.groupBy("pivot", "doc_id").agg(F.first("component").alias("component"), F.min("d").alias("d"))
+        docs = self.scratch.table(f"rings-{self.steps}", docs.withColumn("ring", F.coalesce(F.floor(F.col("d") / width).cast("int"), F.lit(-1))))  # -1: settled as far, how far isn't known
+        size = docs.groupBy("pivot", "ring").agg(F.count("*").alias("held"))
+        docs = docs.join(size, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("held") / self.leaf)).cast("int"))
+        docs = self.scratch.table(f"blocks-{self.steps}", docs.select("pivot", "doc_id", "component", "ring", "block"))
+        block = docs.groupBy("pivot", "ring", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        x, y = block.alias("x"), block.alias("y")
+        met = x.join(y, F.col("x.pivot") == F.col("y.pivot")).where("x.ring < y.ring or (x.ring = y.ring and x.block <= y.block)")
+        met = met.where("x.ring = -1 or y.ring - x.ring <= 3").where("least(x.low, y.low) <> greatest(x.high, y.high)")
+        met = met.select("x.pivot", F.struct("x.ring", "x.block").alias("one"), F.struct("y.ring", "y.block").alias("two"), F.xxhash64("x.pivot", "x.ring", "x.block", "y.ring", "y.block").alias("meeting"))
+        met = self.scratch.table(f"meetings-{self.steps}", met)
+        ids = docs.select("doc_id").distinct()
+        sets = self.scratch.table(f"sets-{self.steps}", sets_of(self.docs, ids, ids.count(), self.size))
+        own = docs.select("pivot", F.struct("ring", "block").alias("at"), "doc_id", "component").join(sets, "doc_id")
+        side = lambda c: own.join(met.select("pivot", F.col(c).alias("at"), "meeting"), ["pivot", "at"]).select(*(F.col(n).alias(n) for n in ("meeting", "doc_id", "component", "shingles")))
+        num, den = self.num, self.den
+
+        def links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+            if not len(one) or not len(two):
+                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            inter = intersections(list(one["shingles"]), list(two["shingles"]))
+            n, m = one["shingles"].map(len).to_numpy()[:, None], two["shingles"].map(len).to_numpy()[None, :]
+            ok = (inter * den >= (n + m - inter) * num) & (one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :])
+            i, j = np.nonzero(ok)
+            return pd.DataFrame({"a": one["doc_id"].to_numpy()[i], "b": two["doc_id"].to_numpy()[j]})
+
+        found = side("one").groupBy("meeting").cogroup(side("two").groupBy("meeting")).applyInPandas(links, "a bigint, b bigint")
+        self.edges = self.edges.unionByName(self.scratch.table(f"links-{self.steps}", found))
+        self.scratch.drop(f"sets-{self.steps}")
 
     def finish(self, members: DataFrame) -> None:
         """Compare the pairs of each region that its pivot and the sizes leave open."""
@@ -227,15 +269,15 @@ class Join:
         found = windows(self.docs, (self.num, self.den), self.size, common_shingles(self.docs, self.size))
         every = self.windows = self.scratch.table("windows", found)
         classes = every.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"))
-        homes = every.drop("window").join(classes, ["n", "h1", "h2"], "left")
+        homes = every.drop("window", "rare").join(classes, ["n", "h1", "h2"], "left")
         homes = self.scratch.table("classes", homes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class")))
         own = every.where("n > 0").join(homes.where("class = doc_id").select("doc_id"), "doc_id", "left_semi")
-        seats = own.select("doc_id", "n", F.explode("window").alias("region"))
-        regions = seats.groupBy("region").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other"), F.count("*").alias("held")).where("held > 1 and pivot <> other")
-        regions = self.scratch.table("regions", regions)
-        pairs = regions.where("held = 2").select(F.col("pivot").alias("a"), F.col("other").alias("b"))  # both seats are known
+        seats = own.select("doc_id", "n", "rare", F.explode("window").alias("region"))
+        regions = seats.groupBy("region").agg(F.min(F.struct("rare", "doc_id")).alias("_p"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held")).where("held > 1 and low <> high")
+        regions = self.scratch.table("regions", regions.select("region", F.col("_p.doc_id").alias("pivot"), "low", "high", "held"))
+        pairs = regions.where("held = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))  # both seats are known
         many = regions.where("held > 2").select("region", "pivot")
-        members = self.scratch.table("members", seats.join(sized(many, many.count()), "region"))
+        members = self.scratch.table("members", seats.drop("rare").join(sized(many, many.count()), "region"))
         stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
         known = self.verify(pairs.unionByName(stars).distinct())
         again = homes.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
@@ -243,23 +285,20 @@ class Join:
         self.relabel()
         known = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), self.distance(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("d"))
         placed = self.open_regions(members).join(known, ["pivot", "doc_id"], "left")
-        placed = placed.withColumn("d", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("pivot")
+        placed = placed.withColumn("d", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
         open_ = self.scratch.table("open", placed)
-        for _ in range(self.levels):
-            large = open_.where(F.col("held") > self.leaf)
-            if large.isEmpty():
-                break
-            self.finish(open_.where(F.col("held") <= self.leaf))
-            open_ = self.split(large)
-        self.finish(open_)
+        large = open_.where(F.col("held") > self.leaf)
+        if not large.isEmpty():
+            self.rings(large)
+        self.finish(open_.where(F.col("held") <= self.leaf))
         last = self.labels.select(F.col("id").alias("class"), "component")
         joined = homes.join(last, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
         return joined.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
 
 
-def join(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (4, 5), size: int = 5, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (4, 5), size: int = 5, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id: documents are linked when J is at least ``threshold`` = (numerator, denominator)."""
-    return Join(spark, docs, threshold, size, leaf, levels).run()
+    return Join(spark, docs, threshold, size, leaf).run()
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (4, 5), size: int = 5) -> DataFrame:
