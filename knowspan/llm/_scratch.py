@@ -23,11 +23,20 @@ def shared_root(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
+#: Rows in an Arrow batch: texts are large, and a Python worker holds a few batches at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Scratch:
     """A folder of intermediate tables for one call of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def at(self, name: str) -> str:
@@ -47,6 +56,7 @@ class Scratch:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

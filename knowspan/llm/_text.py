@@ -1,7 +1,7 @@
 """Vectorised text kernels on Arrow batches: words, shingles and lines as 64-bit hashes.
 
 A batch of texts is one byte buffer with offsets; every step works on whole arrays. Texts are taken
-in slices of a few MB, so temporary arrays stay small however many rows a batch has; a longer text
+in slices of half a MB, so temporary arrays stay small however many rows a batch has; a longer text
 is a slice of its own and is read whole.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE2 = _U(0xD6E8FEB86659FD93 | 1)

@@ -15,7 +15,7 @@ from knowspan.llm import _text as tx
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks kept by a worker; beyond it the table starts anew.
-KEEP = 1_500_000
+KEEP = 600_000
 _PRINT = np.zeros(256, dtype=bool)
 _PRINT[0x21:0x7F] = True
 _ALNUM = np.zeros(256, dtype=bool)

@@ -76,7 +76,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles that are common, the commonest last: counted in every batch of all documents, summed over the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n = [], 0  # a few MB of shingles over batches
 
         def count():
             values, times = np.unique(np.concatenate(held), return_counts=True)
