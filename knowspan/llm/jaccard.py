@@ -10,11 +10,11 @@ that the first shingle they share lies in the windows of both. Each shingle with
 in its window is a region.
 
 Within a region, distances are informative. Its document with the fewest uncommon shingles (the most
-central of a family of copies; the smallest doc_id of those) is its pivot, compared with all others;
+central of a family of copies; of those, one by hash) is its pivot, compared with all others;
 those within r of it are linked through it, and nothing else about them is asked if the region is then
-one component. Other regions go on. In a small one the pairs that aren't in one component yet are
-compared, but those whose distances to the pivot differ by more than r, or whose sizes can't link. A
-region of more than ``LEAF`` documents is cut into rings by the distance to its pivot and rings into
+one component. Other regions go on. In small ones the windows of documents that aren't in one component yet
+meet inside a task, but those whose distances to the pivot differ by more than r, or whose sizes can't
+link; pairs that the windows leave open are compared by their whole sets. A region of more than ``LEAF`` documents is cut into rings by the distance to its pivot and rings into
 blocks: by the triangle inequality a ring meets only those at most r away, which is the window of its
 boundary, and blocks of one component don't meet. Every link between two components is found this way,
 so the components are exact.
@@ -256,12 +256,33 @@ class Join:
         self.scratch.drop(f"sets-{self.steps}")
 
     def finish(self, members: DataFrame) -> None:
-        """Compare the pairs of each region that its pivot and the sizes leave open."""
-        left, right = members.alias("x"), members.alias("y")
-        pairs = left.join(right, F.col("x.region") == F.col("y.region")).where("x.doc_id < y.doc_id and x.component <> y.component")
-        pairs = pairs.where(F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= self.radius(), F.lit(True)))  # a distance not drawn prunes nothing
-        pairs = pairs.where(F.least("x.n", "y.n") * self.den >= F.greatest("x.n", "y.n") * self.num)
-        self.verify(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+        """Compare the pairs of small regions that their pivot, the sizes and the windows leave open.
+
+        Regions of one pivot are one group as long as that has at most ``leaf`` documents. Its windows meet inside a task,
+        and only the pairs that they leave open are handed on."""
+        total = members.groupBy("pivot").agg(F.countDistinct("doc_id").alias("_all"))
+        region = F.when(F.col("_all") > self.leaf, F.col("region"))
+        groups = members.join(total, "pivot").groupBy("pivot", region.alias("region"), "doc_id").agg(F.first("component").alias("component"), F.min("d").alias("d"))
+        groups = self.scratch.table("groups", groups)
+        rows = groups.join(self.windows.where("n > 0").select("doc_id", "n", "window"), "doc_id")
+        num, den, radius = self.num, self.den, self.radius()
+
+        def pairs(group: pd.DataFrame) -> pd.DataFrame:
+            ids, n, d = group["doc_id"].to_numpy(), group["n"].to_numpy(), group["d"].to_numpy(np.float64)
+            own = list(group["window"])
+            inter = intersections(own, own)
+            ends = np.array([w[-1] for w in own])
+            held = np.stack([np.searchsorted(w, ends, side="right") for w in own])  # of a window, up to the end of each other
+            odd = held + held.T - 2 * inter
+            ok = (inter > 0) & (odd * (den + num) <= (n[:, None] + n[None, :]) * (den - num))
+            ok &= np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num
+            ok &= ~(np.abs(d[:, None] - d[None, :]) > radius)  # a distance not drawn prunes nothing
+            ok &= (ids[:, None] < ids[None, :]) & (group["component"].to_numpy()[:, None] != group["component"].to_numpy()[None, :])
+            i, j = np.nonzero(ok)
+            return pd.DataFrame({"a": ids[i], "b": ids[j]})
+
+        found = rows.groupBy("pivot", "region").applyInPandas(pairs, "a bigint, b bigint")
+        self.verify(found.distinct(), sift=False)
         self.relabel()
 
     def run(self) -> DataFrame:
@@ -273,8 +294,9 @@ class Join:
         homes = self.scratch.table("classes", homes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class")))
         own = every.where("n > 0").join(homes.where("class = doc_id").select("doc_id"), "doc_id", "left_semi")
         seats = own.select("doc_id", "n", "rare", F.explode("window").alias("region"))
-        regions = seats.groupBy("region").agg(F.min(F.struct("rare", "doc_id")).alias("_p"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held")).where("held > 1 and low <> high")
-        regions = self.scratch.table("regions", regions.select("region", F.col("_p.doc_id").alias("pivot"), "low", "high", "held"))
+        central = F.shiftleft("rare", 32) + F.shiftrightunsigned(F.xxhash64("doc_id"), 32)  # one number, so that regions are hashed and not sorted
+        regions = seats.groupBy("region").agg(F.min_by("doc_id", central).alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held")).where("held > 1 and low <> high")
+        regions = self.scratch.table("regions", regions)
         pairs = regions.where("held = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))  # both seats are known
         many = regions.where("held > 2").select("region", "pivot")
         members = self.scratch.table("members", seats.drop("rare").join(sized(many, many.count()), "region"))
