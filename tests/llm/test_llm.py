@@ -317,6 +317,37 @@ def test_pseudonyms(spark):
     assert iban and int(iban[1][2:] + "1314" + iban[1][:2]) % 97 == 1 and iban[1] != "89370400440532013000"
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    def iban_ok(code):
+        code = code.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+    texts = [
+        "card 4111 1111 1111 1111 12/27", "4111111111111111 123", "2024 01 4111 1111 1111 1111 12 27 2028", "4111 1111 1111 1111 12/31/2001", "AB12 4111 1111 1111 1111 and 4041 8949 7460 8795 4111111111111111",
+        "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32 THEN", "NL91ABNA0417164300, FR1420041010050500013M02606", "GB83WEST12345698765432", "BE68 5390 0754 7034 4111 1111 1111 1111",
+        "token=" + "aB3" * 3000, "_bob@mail.com -bob@mail.com " + "-" * 90 + "bob@mail.com", "AKIA" + "ABCDEFGH" * 2, "7 " * 15_000, "4111 1111 1111 1111 12bob@mail.com", "988-555-2485 4111 1111 1111 1111 123-45-6789",
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    body = python_feistel("411111111111111", 10, pii.KEY, "card")
+    card = body + str(-luhn(body + "0") % 10)
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    assert got[0].text == f"card {spaced} 12/27" and got[1].text == f"{card} 123" and got[2].text == f"2024 01 {spaced} 12 27 2028"
+    assert got[3].pii_kinds == ["card", "date"] and got[3].text.startswith(spaced) and "12/31/2001" not in got[3].text
+    assert got[4].text.startswith(f"AB12 {spaced} and ") and got[4].text.endswith(f" {card}") and got[4].pii_kinds == ["card"] * 3
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", got[5].text) and iban_ok(got[5].text) and got[5].text != texts[5]
+    assert got[6].text.replace(" ", "") == got[5].text + "THEN" and [len(w) for w in got[6].text.split()] == [4, 4, 4, 4, 4, 2, 4]
+    assert got[7].pii_kinds == ["iban"] * 2 and all(iban_ok(x) and x not in texts[7] for x in got[7].text.split(", "))
+    assert got[8].text == texts[8] and got[9].pii_kinds == ["iban", "card"] and got[9].text.endswith(spaced) and iban_ok(got[9].text[:19])
+    value = python_feistel("ab3" * 3000, 36, pii.KEY, "secret")
+    assert got[10].text == "token=" + "".join(c.upper() if k % 3 == 1 else c for k, c in enumerate(value))
+    name = python_feistel("bob", 36, pii.KEY, "email")
+    assert got[11].text == f"_{name}@mail.com -{name}@mail.com {'-' * 90}{name}@mail.com"
+    assert got[12].pii_kinds == ["secret"] and got[12].text != texts[12]
+    assert got[13].n_pii < 15_000 and re.fullmatch(r"(\d )*", got[13].text) and len(got[13].text) == 30_000
+    assert got[14].text.startswith(spaced) and got[14].pii_kinds == ["card", "email"]
+    assert got[15].pii_kinds == ["phone", "card", "ssn"] and got[15].text[13:32] == spaced
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = spark.sql("SELECT explode(sequence(date'1990-01-01', date'1999-12-31')) AS d").select(F.date_format("d", "yyyy-MM-dd").alias("m"))
     new = days.select(pii.pseudonym(F.col("m")).alias("p"))
