@@ -19,6 +19,22 @@ def sessions(events: DataFrame, key: str, time: str, ident: str, gap_minutes: in
     return marked.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
 
 
+def global_sessions(events: DataFrame, time: str, ident: str, gap_minutes: int = 30) -> DataFrame:
+    """``sessions`` of one stream without a key, hour by hour: only one row for each hour with events meets in one task."""
+    gap = F.expr(f"INTERVAL '{gap_minutes}' MINUTE")
+    hour = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 3_600_000_000)
+    order = Window.partitionBy("_hour").orderBy(time, ident)
+    begins = F.when(F.col(time) - F.lag(time).over(order) > gap, 1).otherwise(0)
+    marked = events.where(F.col(time).isNotNull()).withColumn("_hour", hour).withColumn("_new", begins)
+    hours = marked.groupBy("_hour").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.sum("_new").alias("_n"))
+    line = Window.orderBy("_hour")
+    hours = hours.withColumn("_begins", F.when(F.col("_first") - F.lag("_last").over(line) > gap, 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("_n") + F.col("_begins")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_begins")
+    known = hours.select("_hour", before.alias("_before"))
+    own = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_own", own).join(known, "_hour").withColumn("session", F.col("_own") + F.col("_before") + 1).drop("_hour", "_new", "_own", "_before")
+
+
 def followed(events: DataFrame, key: str, time: str, kind: str, first: str, then: str, minutes: int = 30) -> DataFrame:
     """The rows of kind ``first`` with followed: whether a row of kind ``then`` comes strictly later in the session and within ``minutes``.
 
@@ -81,8 +97,8 @@ def q_session_window(spark, d):
 
 
 def q_global_sessions(spark, d):
-    some = table(spark, d, "events").where("event_type in ('signup', 'error') and user_id < 10").withColumn("all", F.lit(1))
-    return sessions(some, "all", "ts", "event_id").groupBy("session").agg(F.count("*").alias("n"), F.min("ts").alias("begin"))
+    some = table(spark, d, "events").where("event_type in ('signup', 'error') and user_id < 10")
+    return global_sessions(some, "ts", "event_id").groupBy("session").agg(F.count("*").alias("n"), F.min("ts").alias("begin"))
 
 
 def q_followed(spark, d):

@@ -107,6 +107,19 @@ def test_session_count_is_one_more_than_the_gaps(spark, minutes):
     assert sessions.sessions(df, "u", "t", "id").agg(F.max("session")).first()[0] == gaps + 1
 
 
+def test_global_sessions_of_the_whole_stream(spark, duck):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    gap = "ts - lag(ts) OVER (ORDER BY ts, event_id) > INTERVAL 7 MINUTE"
+    want = duck.sql(f"SELECT event_id, 1 + sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT FROM (SELECT *, {gap} AS gap FROM events) g ORDER BY 1").fetchall()
+    got = sessions.global_sessions(events, "ts", "event_id", 7)
+    assert sorted((r.event_id, r.session) for r in got.collect()) == want and want[-1] and len({s for _, s in want}) > 1
+    at = dt.datetime(2024, 1, 1, 0, 50)
+    minutes = [0, 20, 50, 81, 81 + 300, 381 + 30, 411 + 1500]  # over the hour: kept, exactly 30, 31, empty hours, exactly 30, a day
+    rows = [(i, at + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)] + [(99, None)]
+    few = sessions.global_sessions(spark.createDataFrame(rows, "id bigint, t timestamp_ntz"), "t", "id")
+    assert few.columns == ["id", "t", "session"] and sorted((r.id, r.session) for r in few.collect()) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 4)]
+
+
 def test_relations(spark):
     roots = spark.createDataFrame([("/a",), ("/a/b/",)], "root string")
     paths = spark.createDataFrame([("/a/b/c",), ("/ab",), ("/a",)], "path string")
