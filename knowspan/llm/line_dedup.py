@@ -13,7 +13,7 @@ shuffled, and the join that finds the lines to drop reads only keys held twice;
 splits its hot keys.
 
 Nulls: a null or empty text is one empty line, and its kept text is empty. A row with a null doc_id
-loses every line that another document holds. Repeated rows of one doc_id are one document to the
+loses every line that a document with an id holds; what only such rows hold stays in all of them. Repeated rows of one doc_id are one document to the
 rule: none loses lines to the other. Lines shorter than ``min_chars`` always stay. Empty input: no
 rows. Extra columns pass through ``dedup``; those named n_lines or n_dropped are replaced.
 """
@@ -119,8 +119,8 @@ class LineRuns:
         self.count += 1
         own = own.select("h1", "h2", F.coalesce("_first", "owner").alias("owner"), "holders", F.col("_first").isNull().alias("fresh"))
         batch = self.scratch.table(f"batch-{self.count}", own.sortWithinPartitions("h1", "h2"), ["fresh"])
-        self._add(0, batch.where("fresh").select("h1", "h2", "owner"))
-        return batch.where("not fresh or holders > 1").select("h1", "h2", "owner")
+        self._add(0, batch.where("fresh and owner is not null").select("h1", "h2", "owner"))
+        return batch.where("owner is not null and (not fresh or holders > 1)").select("h1", "h2", "owner")
 
 
 def drops(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:

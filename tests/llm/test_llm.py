@@ -116,6 +116,15 @@ def test_perfect_hash():
 # --- lines, near duplicates, benchmarks
 
 
+def test_lines_of_rows_without_an_id(spark):
+    rows = [(None, "only rows without id\nheld by document one"), (None, "only rows without id\nheld by document one"), (1, "held by document one"), (2, "held by document one\nof document two only")]
+    got = line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in got) == [(0, "only rows without id", 2, 1)] * 2 + [(1, "held by document one", 1, 0), (2, "of document two only", 2, 1)]
+    runs = line_dedup.LineRuns(Scratch(spark, "runs"))
+    found = [runs.admit(spark.createDataFrame([(d, h, 0) for d, h in batch], "doc_id bigint, h1 bigint, h2 bigint")).collect() for batch in ([(None, 5), (None, 5)], [(7, 5)], [(8, 5)])]
+    assert [[(r.h1, r.owner) for r in f] for f in found] == [[], [], [(5, 7)]]
+
+
 def test_line_dedup_of_odd_texts(spark):
     texts = [*ODD, "SAME LINE HERE\nother line here", "short\nsame line here\t", None]
     got = {r.doc_id: r for r in line_dedup.dedup(spark, frame(spark, texts).withColumn("N_Dropped", F.lit(1))).collect()}
