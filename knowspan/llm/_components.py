@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from knowspan.llm._scratch import Scratch
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
-    """id, component of each node of ``edges`` (a, b) but those that are a component's smallest member."""
+    """id, component of each node of ``edges`` (a, b) but those that are a component's smallest member.
+
+    Goes on until a round leaves the table of edges as it was; rounds grow with the logarithm of the nodes."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, before, held = scratch.table(f"{name}-0", pairs), None, f"{name}-0"
-    for k in range(1, MOST_ROUNDS):
+    pairs, rows, held, k = scratch.table(f"{name}-0", pairs), -1, f"{name}-0", 0
+    while True:
+        k += 1
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,10 +30,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         table = scratch.table(f"{name}-{k}", small)
-        now = tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        now = table.count()
+        same = now == rows and table.join(pairs, ["u", "v"], "left_anti").isEmpty()
         scratch.drop(held)
-        pairs, held = table, f"{name}-{k}"
-        if now == before:
+        pairs, rows, held = table, now, f"{name}-{k}"
+        if same:
             return pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
-    raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")

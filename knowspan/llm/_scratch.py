@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
+#: Spark's setting that removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in an Arrow batch: texts are large, and a Python worker holds a few batches at once.
 BATCH_ROWS = 1000
 
@@ -43,13 +45,28 @@ class Scratch:
         return f"{self.path}/{name}"
 
     def table(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write ``df`` and return a scan of what was written."""
+        """Write ``df`` and return a scan of what was written. The shuffle files of this write go with its end."""
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.at(name))
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.parquet(self.at(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        for found in path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+            if found.getPath().getName() not in names:
+                self.drop(found.getPath().getName())
+
     def drop(self, name: str = "") -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,27 +1,32 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets (operator 4).
 
 The distance 1 - J is a metric, and two documents link when it is at most r = 1 - threshold. Between
-unrelated texts it is 1, whatever the pivot, so a first level with documents as pivots would put all
-of them into every region. The first level's pivots are therefore sets of one shingle, whose distance
-to a document is 1 - 1/n if it holds the shingle and 1 if not. A document's nearest pivots are its
-shingles, in one order for all (those that are common in the corpus last), and its home is the first.
-Its window reaches over the first n - ceil(t n) + 1 of them: documents that link share all but so many
-that the first shingle they share lies in the windows of both. Each shingle with two or more documents
-in its window is a region.
-
-Within a region, distances are informative. Its document with the fewest uncommon shingles (the most
-central of a family of copies; of those, one by hash) is its pivot, compared with all others;
-those within r of it are linked through it, and nothing else about them is asked if the region is then
-one component. Other regions go on. In small ones the windows of documents that aren't in one component yet
-meet inside a task, but those whose distances to the pivot differ by more than r, or whose sizes can't
-link; pairs that the windows leave open are compared by their whole sets. A region of more than ``LEAF`` documents is cut into rings by the distance to its pivot and rings into
-blocks: by the triangle inequality a ring meets only those at most r away, which is the window of its
-boundary, and blocks of one component don't meet. Every link between two components is found this way,
-so the components are exact.
-
-Before whole sets are compared, windows are: up to the nearer of their two ends, each shingle that only
-one window holds is in only one set. A pair with more of those than linked sets can differ by is settled
-by a tenth of the shingles.
+unrelated texts it is 1 whatever the pivot, so documents as the first pivots would put every document into
+every region. The first level's pivots are therefore sets of one shingle, in one order for all documents,
+the rarest in the whole corpus first. A document's home is its first shingle; its window reaches over the
+first n - ceil(t n) + 1. Documents that link share all but so many that the first shingle they share lies
+in both windows. A shingle that two or more documents have in their windows is a region. At its place a
+region says how much two documents can still share if none before was shared; what can't link by that or
+by size isn't compared. Regions of the same documents are one: the first of them in the order.
+
+The order comes from ``COUNTERS`` counters, to which every shingle of every document is hashed. Their number
+is fixed, so they are no statistic that grows with the corpus; where unlike shingles share a counter the
+order is less good, and the result is the same, as any order that all documents share is exact.
+
+Inside a region distances are informative. Its pivot is the document that has the region's shingle first
+(the one with the fewest shingles of its own: the most central of a family of copies). Documents within r
+of it are linked through it, and nothing else is asked of a region that is one component then. In the
+others, up to ``LEAF`` documents, those of different components meet, but not where their distances to the
+pivot differ by more than r. Larger regions are divided again by ``PIVOTS`` of their documents, of different
+components: a document's home is the region of its nearest pivot (Voronoi), and it is replicated to each
+pivot at most 2 r farther than that, by the triangle inequality the only ones in whose regions a document
+it links with can be at home. Documents meet in a region if one of them is at home there. A region is
+divided until it is one component or a leaf, or until dividing no longer makes it smaller: then its
+documents are compared in blocks, rings by the distance to its pivot meeting only at most r away.
+
+Pairs that are left are settled by their windows where these have too many shingles of only one of them,
+and else by their whole sets. The links between different components are all found, so the components are
+exact. A set is sent once for each block of pairs that has it as first.
 
 Equal sets are one class from the start, represented by its smallest doc_id. Shingles are hashes of 56
 bits (a 64-bit hash cut); equality of sets is by 128 bits and size.
@@ -41,18 +46,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knowspan.llm import _text as tx
 from knowspan.llm._components import components
 from knowspan.llm._scratch import Scratch, documents
 
-#: Regions with more documents are joined ring by ring in blocks of so many; smaller ones compare the pairs that are left.
+#: Regions with more documents are divided or joined in blocks of so many; smaller ones compare the pairs left.
 LEAF = 256
-#: A shingle in this share of a batch's documents, and in at least so many, is common.
-COMMON, COMMON_LEAST = 0.001, 4
-#: Of the common shingles, so many of the commonest have their place in the order; others go by hash.
-COMMON_MOST = 400_000
+#: Documents that a large region is divided by, and the share of a region that a part must stay below.
+PIVOTS, SMALLER = 8, 0.75
+#: Counters of shingles, and the pieces they are summed in.
+COUNTERS, PIECES = 1 << 25, 64
+#: Pairs with the same first document that are one group; with more, several.
+BLOCK = 1024
 BROADCAST_ROWS = 1_000_000
+#: Copies of one set above which its class is told to all tasks where classes are too many to broadcast.
+COPIES = 10_000
 _U = np.uint64
 
 
@@ -61,71 +71,98 @@ def sized(side: DataFrame, rows: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string").alias("text")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
 
 
 def _sets(batch: pa.RecordBatch, size: int):
-    """(first row, doc_ids, shingles, offsets) of at most 256 rows each."""
+    """(doc_ids, shingles, offsets) of at most 256 rows each."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     raw, offsets = tx.buffers(batch.column(1))
     for i, j, part, offs in tx.slices(raw, offsets, rows=256):
         yield ids[i:j], *tx.distinct_shingles(part, offs, size)
 
 
-def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that are common, the commonest last: counted in every batch of all documents, summed over the batches."""
+def ranks(docs: DataFrame, size: int) -> np.ndarray:
+    """For each counter a byte, larger the more often its shingles occur in all documents."""
+    place = _U(56 - (COUNTERS.bit_length() - 1))
+    schema = "piece int, turn int, counts binary"
+    tasks = docs.rdd.getNumPartitions()
+    turns = -(-tasks // 256)  # a task of the last sum reads at most 256 rows of a piece
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0  # a few MB of shingles over batches
+    def rows(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        data = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in sums.values()]
+        keys = list(sums)
+        columns = [pa.array([p for p, _ in keys], pa.int32()), pa.array([t for _, t in keys], pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], ["piece", "turn", "counts"])
 
-        def count():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= max(COMMON_LEAST, int(COMMON * n))
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "n"])
+    def unpack(data: bytes) -> np.ndarray:
+        raw = pa.decompress(data, decompressed_size=4 * COUNTERS // PIECES, codec="zstd", asbytes=True)
+        return np.frombuffer(raw, np.uint32)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for _, shingles, _ in _sets(batch, size):
+                np.add.at(held, (shingles >> place).astype(np.int64), np.uint32(1))
+        for piece, part in enumerate(held.reshape(PIECES, -1)):
+            if part.any():
+                yield rows({(piece, 0): part})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for ids, shingles, _ in _sets(batch, size):
-                held.append(shingles)
-                n += len(ids)
-                if sum(map(len, held)) > 2_000_000:
-                    yield count()
-                    held, n = [], 0
-        if held:
-            yield count()
-
-    found = _texts(docs).mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()  # bounded by COMMON_MOST
-    return top["shingle"].to_numpy()[::-1].astype(np.int64)
-
-
-def windows(docs: DataFrame, threshold: tuple[int, int], size: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2, rare (shingles that aren't common) and window: the first pivots of each document, as their places in the order, ascending."""
-    order = np.argsort(common, kind="stable")
-    keys, places = common[order].view(_U), order.astype(_U)
+            for piece, turn, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                part = unpack(data)
+                sums[piece, turn] = sums[piece, turn] + part if (piece, turn) in sums else part
+        for key, part in sums.items():
+            yield rows({key: part})
+
+    found = _texts(docs).mapInArrow(count, schema)
+    if turns > 1:
+        found = found.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(turns)).cast("int"))
+        found = found.repartition("piece", "turn").mapInArrow(total, schema).withColumn("turn", F.lit(0))
+    found = found.repartition(PIECES, "piece").mapInArrow(total, schema)
+    summed = found.select("piece", "counts").toArrow()  # PIECES rows at most, COUNTERS numbers
+    pieces = dict(zip(summed["piece"].to_pylist(), summed["counts"]))
+    some = np.concatenate([unpack(x.as_py())[::64] for x in pieces.values()]) if pieces else np.zeros(1, np.uint32)
+    steps = np.unique(np.quantile(some, np.arange(1, 256) / 256, method="lower"))
+    out = np.zeros((PIECES, COUNTERS // PIECES), np.uint8)
+    for piece, data in pieces.items():
+        out[piece] = np.searchsorted(steps, unpack(data.as_py()), side="left")
+    return out.reshape(-1)
+
+
+def windows(docs: DataFrame, threshold: tuple[int, int], size: int, rank: np.ndarray) -> DataFrame:
+    """doc_id, n, h1, h2 and window: the first pivots of each document as their places in the order, ascending.
+
+    A place is the byte of the shingle's counter and 48 bits of its hash. Should two shingles have one place
+    they are one region, which adds candidates and loses none."""
+    place = _U(56 - (COUNTERS.bit_length() - 1))
     num, den = threshold
+    names = ["doc_id", "n", "h1", "h2", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, shingles, at in _sets(batch, size):
                 n = np.diff(at)
-                doc = np.repeat(np.arange(len(ids)), n)
+                doc = np.repeat(np.arange(len(ids), dtype=_U), n)
+                sums = np.zeros((2, len(shingles) + 1), _U)
                 with np.errstate(over="ignore"):
-                    sums = np.concatenate([np.zeros((2, 1), _U), np.cumsum([tx.mix(shingles), tx.mix(shingles ^ _U(0xA5A5A5A5A5A5A5A5))], axis=1, dtype=_U)], 1) if len(shingles) else np.zeros((2, 1), _U)
+                    np.cumsum(tx.mix(shingles), out=sums[0, 1:])
+                    np.cumsum(tx.mix(shingles ^ _U(0xA5A5A5A5A5A5A5A5)), out=sums[1, 1:])
                     prints = (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
-                rare = n.astype(np.int64)
-                rank = shingles.copy()  # ascending in each document already; the common ones go last
-                if len(keys) and len(shingles):
-                    near = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-                    is_common = keys[near] == shingles
-                    rank[is_common] = (_U(1) << _U(62)) + places[near[is_common]]
-                    rare = rare - np.bincount(doc[is_common], minlength=len(ids))
-                    rank = rank[np.lexsort((rank, doc))]
+                code = rank[(shingles >> place).astype(np.int64)].astype(_U)
+                order = np.sort((doc << _U(56)) | (code << _U(48)) | (shingles >> _U(8)))  # stays in its document
                 reach = np.where(n > 0, n - -(-n * num // den) + 1, 0)
-                first = np.arange(len(rank)) - np.repeat(at[:-1], n) < np.repeat(reach, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]), pa.int32()), pa.array(rank[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), pa.array(rare), lists], ["doc_id", "n", "h1", "h2", "rare", "window"])
+                first = np.arange(len(order)) - np.repeat(at[:-1], n) < np.repeat(reach, n)
+                ends = pa.array(np.concatenate([[0], np.cumsum(reach)]), pa.int32())
+                seats = (order[first] & _U((1 << 56) - 1)).view(np.int64)
+                lists = pa.ListArray.from_arrays(ends, pa.array(seats))
+                columns = [pa.array(ids), pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), lists]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, rare bigint, window array<bigint>")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, window array<bigint>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rows: int, size: int) -> DataFrame:
@@ -134,13 +171,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, rows: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, shingles, at in _sets(batch, size):
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64)))], ["doc_id", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own), lists], ["doc_id", "shingles"])
 
-    return _texts(docs).join(sized(ids, rows), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    some = _texts(docs).join(sized(ids, rows), "doc_id", "left_semi")
+    return some.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def intersections(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets of one list with all of the other; only shingles of both lists have columns."""
+    """Sizes of the intersections of all sets of one list with all of the other; only shingles of both count."""
     flat = [np.concatenate(sets).view(_U) if len(sets) else np.zeros(0, _U) for sets in (one, two)]
     shared = np.intersect1d(*flat)
     rows = [np.repeat(np.arange(len(sets)), [len(x) for x in sets]) for sets in (one, two)]
@@ -165,81 +204,223 @@ class Join:
         self.num, self.den = threshold
         self.steps = 0
         self.windows: DataFrame | None = None
-        self.edges: DataFrame | None = None
+        self.fresh: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def links(self, inter: Column, a: Column, b: Column) -> Column:
         return inter * self.den >= (a + b - inter) * self.num
 
+    def can_link(self, most: Column, small: Column, large: Column) -> Column:
+        """Whether sets of these sizes can link if they share at most ``most``."""
+        return (most * (self.num + self.den) >= (small + large) * self.num) & (small * self.den >= large * self.num)
+
     def radius(self) -> float:
         return (self.den - self.num) / self.den + 1e-9
 
+    @staticmethod
+    def beside(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+        """The pairs (a, b, block) with _a and _b, the ``value`` of each; that of a is sent once for each block."""
+        of = lambda c: rows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col(value).alias(f"_{c}"))
+        heads = pairs.select("a", "block").distinct().join(of("a"), "a")
+        return pairs.join(of("b"), "b").join(heads, ["a", "block"])
+
+    def blocks(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs with the block that those of one first document are dealt to."""
+        many = pairs.groupBy("a").agg(F.count("*").alias("_held")).where(F.col("_held") > BLOCK)
+        many = self.scratch.table(f"many-{self.steps}", many)  # a row for more than BLOCK pairs
+        turn = F.pmod(F.xxhash64("b", F.lit(3)), F.ceil(F.col("_held") / BLOCK)).cast("int")
+        joined = pairs.join(sized(many, many.count()), "a", "left")
+        return joined.select("a", "b", F.coalesce(turn, F.lit(0)).alias("block"))
+
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) that sizes and windows leave open."""
-        side = lambda c: self.windows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("window").alias(f"w_{c}"))
-        met = pairs.join(side("a"), "a").where("size(w_a) > 0").join(side("b"), "b")
-        met = met.where(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num)
-        end = F.least(F.element_at("w_a", -1), F.element_at("w_b", -1))
+        """The pairs that sizes and windows leave open.
+
+        Up to the nearer of two windows' ends, each shingle that only one of them holds is in only one set."""
+        met = self.beside(pairs, self.windows.where("n > 0"), "window")
+        met = met.where(self.can_link(F.least("n_a", "n_b"), F.least("n_a", "n_b"), F.greatest("n_a", "n_b")))
+        end = F.least(F.element_at("_a", -1), F.element_at("_b", -1))
         held = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_end")))
-        odd = held("w_a") + held("w_b") - 2 * F.size(F.array_intersect("w_a", "w_b"))
-        met = met.withColumn("_end", end).where(odd * (self.den + self.num) <= (F.col("n_a") + F.col("n_b")) * (self.den - self.num))
-        return met.select("a", "b").distinct()
+        odd = held("_a") + held("_b") - 2 * F.size(F.array_intersect("_a", "_b"))
+        most = (F.col("n_a") + F.col("n_b")) * (self.den - self.num)
+        met = met.withColumn("_end", end).where(odd * (self.den + self.num) <= most)
+        return met.select("a", "b", "block").distinct()
 
-    def verify(self, pairs: DataFrame, sift: bool = True) -> DataFrame:
-        """n_a, n_b, inter of distinct pairs (a, b), or of the plausible ones; their links join the edges."""
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b, inter of the plausible ones of the pairs (a, b); their links join the edges."""
         self.steps += 1
-        pairs = self.scratch.table(f"pairs-{self.steps}", self.plausible(pairs) if sift else pairs)
-        ids = self.scratch.table(f"ids-{self.steps}", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = self.scratch.table(f"sets-{self.steps}", sets_of(self.docs, ids, ids.count(), self.size))
-        one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
-        done = pairs.join(one, "a").join(two, "b")
-        done = done.select("a", "b", F.size("_a").cast("bigint").alias("n_a"), F.size("_b").cast("bigint").alias("n_b"), F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("inter"))
-        done = self.scratch.table(f"verified-{self.steps}", done)
-        self.scratch.drop(f"sets-{self.steps}")
-        linked = done.where(self.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-        self.edges = linked if self.edges is None else self.edges.unionByName(linked)
-        return done.groupBy("a", "b").agg(F.max(F.struct("inter", "n_a", "n_b")).alias("_s")).select("a", "b", "_s.*")
+        at = lambda name: f"{name}-{self.steps}"
+        asked = self.scratch.table(at("asked"), pairs.select("a", "b").distinct())
+        if asked.isEmpty():
+            return asked.select("a", "b", *(F.lit(0).cast("bigint").alias(c) for c in ("n_a", "n_b", "inter")))
+        pairs = self.scratch.table(at("pairs"), self.plausible(self.blocks(asked)))
+        self.scratch.drop(at("asked"))
+        ids = self.scratch.table(at("ids"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        sets = sets_of(self.docs, ids, ids.count(), self.size).withColumn("n", F.size("shingles").cast("bigint"))
+        sets = self.scratch.table(at("sets"), sets)
+        inter = F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("inter")
+        done = self.scratch.table(at("verified"), self.beside(pairs, sets, "shingles").select("a", "b", "n_a", "n_b", inter))
+        for name in ("sets", "pairs", "ids", "many"):
+            self.scratch.drop(at(name))
+        self.link(done.where(self.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+        return done
+
+    def link(self, edges: DataFrame) -> None:
+        """Add edges; known components stand for the edges they came from."""
+        if self.fresh is not None:
+            edges = self.fresh.unionByName(edges)
+        self.fresh = edges
 
     def relabel(self) -> None:
-        self.labels = components(self.edges, self.scratch, f"stars-{self.steps}")
+        if self.labels is not None and (self.fresh is None or self.fresh.isEmpty()):
+            return
+        edges = self.fresh if self.labels is None else self.fresh.unionByName(self.labels.toDF("a", "b"))
+        self.labels, self.fresh = components(edges, self.scratch, f"stars-{self.steps}"), None
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        return members.join(self.labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    @staticmethod
-    def distance(inter: Column, a: Column, b: Column) -> Column:
-        return 1 - inter / (a + b - inter)
+        joined = members.drop("component").join(self.labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        return joined.withColumn("component", F.coalesce("component", "doc_id"))
 
     def open_regions(self, members: DataFrame) -> DataFrame:
-        """The members, with components, of the regions that aren't one component."""
+        """The members, with components and the number held, of the regions that aren't one component."""
         members = self.labelled(members)
-        still = members.groupBy("region").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("held")).where("_x <> _y")
-        return members.join(still.select("region", "held"), "region")
+        sizes = members.groupBy("region").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("held"))
+        return members.join(sizes.where("_x <> _y").select("region", "held"), "region")
+
+    def meet(self, members: DataFrame) -> None:
+        """Compare the documents of small regions (region, doc_id, n, rest, component, d, home).
+
+        Regions are taken many at a time from a partition sorted by them; what sizes, places, distances to the
+        pivot and components leave open is handed on. ``rest``: how many shingles follow the region's own."""
+        num, den, radius = self.num, self.den, self.radius()
+
+        def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            region = rows["region"].to_numpy()
+            end = np.searchsorted(region, region, side="right")
+            after = end - np.arange(len(rows)) - 1
+            ids, n, rest, comp, d, home = (rows[c].to_numpy() for c in ("doc_id", "n", "rest", "component", "d", "home"))
+            d = d.astype(np.float64)  # null: not known, prunes nothing
+            total, i = np.cumsum(after), 0
+            while i < len(rows):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000)))
+                one = np.repeat(np.arange(i, j), after[i:j])
+                step = np.arange(len(one)) - np.repeat(np.cumsum(after[i:j]) - after[i:j], after[i:j])
+                two = one + 1 + step
+                ok = (comp[one] != comp[two]) & (home[one] | home[two])
+                one, two = one[ok], two[ok]
+                size = n[one] + n[two]
+                ok = np.minimum(n[one], n[two]) * den >= np.maximum(n[one], n[two]) * num
+                ok &= (1 + np.minimum(rest[one], rest[two])) * (num + den) >= size * num
+                ok &= ~(np.abs(d[one] - d[two]) > radius)
+                a, b = ids[one[ok]], ids[two[ok]]
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                i = j
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for frame in frames:
+                held.append(frame)
+                if sum(map(len, held)) < 20_000:
+                    continue
+                rows = pd.concat(held, ignore_index=True)
+                whole = int(np.searchsorted(rows["region"].to_numpy(), rows["region"].iloc[-1]))  # the last goes on
+                yield from pairs_of(rows.iloc[:whole])
+                held = [rows.iloc[whole:]]
+            if held:
+                yield from pairs_of(pd.concat(held, ignore_index=True))
+
+        columns = members.select("region", "doc_id", "n", "rest", "component", F.col("d").cast("double").alias("d"), "home")
+        found = columns.repartition("region").sortWithinPartitions("region").mapInPandas(run, "a bigint, b bigint")
+        self.verify(found)
+        self.relabel()
+
+    def divide(self, members: DataFrame) -> None:
+        """Divide large regions (region, doc_id, n, component, held) by some of their documents, again and again."""
+        self.steps += 1
+        at = lambda name: f"{name}-{self.steps}"
+        heads = members.groupBy("region", "component").agg(
+            F.min_by("doc_id", F.xxhash64("doc_id", F.lit(self.steps))).alias("pivot"), F.count("*").alias("_w")
+        )
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("_w"), "pivot"))
+        heads = heads.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).select("region", "pivot")
+        heads = self.scratch.table(at("heads"), heads)
+        block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("held") / BLOCK)).cast("int")
+        rows = members.select("region", "doc_id", "n", "component", F.col("held").alias("whole"), block.alias("block"))
+        rows = self.scratch.table(at("divided"), rows)
+        ids = self.scratch.table(at("ids"), rows.select("doc_id").distinct())
+        sets = self.scratch.table(at("sets"), sets_of(self.docs, ids, ids.count(), self.size))
+        pivots = heads.join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("_p")), "pivot")
+        pivots = rows.select("region", "block").distinct().join(pivots, "region")
+        pivots = pivots.groupBy("region", "block").agg(F.collect_list(F.struct("pivot", "_p")).alias("_pivots"))
+        met = rows.join(sets, "doc_id").join(pivots, ["region", "block"])
+
+        def beside(p: Column) -> Column:
+            inter = F.size(F.array_intersect(p["_p"], F.col("shingles"))).cast("bigint")
+            a, b = F.size(p["_p"]).cast("bigint"), F.size("shingles").cast("bigint")
+            linked = self.links(inter, a, b)
+            return F.struct((1 - inter / (a + b - inter)).alias("d"), p["pivot"].alias("pivot"), linked.alias("linked"))
+
+        met = met.withColumn("_all", F.transform("_pivots", beside)).drop("_pivots", "shingles")
+        met = met.withColumn("_near", F.array_min("_all"))
+        reached = F.filter("_all", lambda x: x["d"] <= F.col("_near.d") + 2 * self.radius())
+        parts = met.withColumn("_s", F.explode(reached)).select(
+            F.xxhash64("region", "_s.pivot").alias("region"), "_s.pivot", "doc_id", "n", "component", "whole",
+            "_s.d", "_s.linked", (F.col("_s.pivot") == F.col("_near.pivot")).alias("home"),
+        )
+        parts = self.scratch.table(at("parts"), parts)
+        for name in ("sets", "ids", "divided", "heads"):
+            self.scratch.drop(at(name))
+        found = parts.where("linked and doc_id <> pivot and component <> pivot")
+        self.link(found.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+        self.relabel()
+        parts = self.scratch.table(at("open"), self.open_regions(parts))
+        small, large = parts.where(F.col("held") <= self.leaf), parts.where(F.col("held") > self.leaf)
+        shrunk = F.col("held") <= F.col("whole") * SMALLER
+        if not small.isEmpty():
+            self.meet(small.withColumn("rest", F.col("n")))  # places are of no use here
+        if not large.where(~shrunk).isEmpty():
+            self.rings(large.where(~shrunk))
+        if not large.where(shrunk).isEmpty():
+            self.divide(large.where(shrunk))
 
     def rings(self, members: DataFrame) -> None:
-        """Compare the documents of large regions (pivot, doc_id, n, component, d) in blocks.
+        """Compare the documents of large regions (region, doc_id, component, d, home) in blocks.
 
-        The regions of one pivot are joined as one. Its documents fall into rings by their distance to the pivot, half of r
-        wide, and rings into blocks of about ``LEAF`` documents by hash; two blocks meet only if the triangle inequality lets
-        their rings and they aren't of one component. Only links leave a task."""
+        Documents fall into rings by their distance to the pivot, half of r wide, and rings into blocks of about ``LEAF``
+        documents by hash; two blocks meet only if the triangle inequality lets their rings and they aren't of one component.
+        Only links leave a task."""
         self.steps += 1
+        at = lambda name: f"{name}-{self.steps}"
         width = self.radius() / 2
-        docs = members.groupBy("pivot", "doc_id").agg(F.first("component").alias("component"), F.min("d").alias("d"))
-        docs = self.scratch.table(f"rings-{self.steps}", docs.withColumn("ring", F.coalesce(F.floor(F.col("d") / width).cast("int"), F.lit(-1))))  # -1: settled as far, how far isn't known
-        size = docs.groupBy("pivot", "ring").agg(F.count("*").alias("held"))
-        docs = docs.join(size, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("held") / self.leaf)).cast("int"))
-        docs = self.scratch.table(f"blocks-{self.steps}", docs.select("pivot", "doc_id", "component", "ring", "block"))
-        block = docs.groupBy("pivot", "ring", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        docs = members.groupBy("region", "doc_id").agg(
+            F.first("component").alias("component"), F.min("d").alias("d"), F.max("home").alias("home"), F.count("*").alias("_t")
+        )
+        ring = F.when(F.col("_t") == 1, F.coalesce(F.floor(F.col("d") / width).cast("int"), F.lit(-1))).otherwise(-1)
+        docs = docs.withColumn("ring", ring)  # -1: how far isn't known, or differs between the texts of a repeated doc_id
+        docs = self.scratch.table(at("rings"), docs)
+        size = docs.groupBy("region", "ring").agg(F.count("*").alias("held"))
+        block = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("held") / self.leaf)).cast("int")
+        docs = docs.join(size, ["region", "ring"]).withColumn("block", block)
+        docs = self.scratch.table(at("blocks"), docs.select("region", "doc_id", "component", "home", "ring", "block"))
+        block = docs.groupBy("region", "ring", "block").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max("home").alias("home")
+        )
         x, y = block.alias("x"), block.alias("y")
-        met = x.join(y, F.col("x.pivot") == F.col("y.pivot")).where("x.ring < y.ring or (x.ring = y.ring and x.block <= y.block)")
+        met = x.join(y, F.col("x.region") == F.col("y.region")).where("x.home or y.home")
+        met = met.where("x.ring < y.ring or (x.ring = y.ring and x.block <= y.block)")
         met = met.where("x.ring = -1 or y.ring - x.ring <= 3").where("least(x.low, y.low) <> greatest(x.high, y.high)")
-        met = met.select("x.pivot", F.struct("x.ring", "x.block").alias("one"), F.struct("y.ring", "y.block").alias("two"), F.xxhash64("x.pivot", "x.ring", "x.block", "y.ring", "y.block").alias("meeting"))
-        met = self.scratch.table(f"meetings-{self.steps}", met)
+        meeting = F.xxhash64("x.region", "x.ring", "x.block", "y.ring", "y.block").alias("meeting")
+        met = met.select("x.region", F.struct("x.ring", "x.block").alias("one"), F.struct("y.ring", "y.block").alias("two"), meeting)
+        met = self.scratch.table(at("meetings"), met)
         ids = docs.select("doc_id").distinct()
-        sets = self.scratch.table(f"sets-{self.steps}", sets_of(self.docs, ids, ids.count(), self.size))
-        own = docs.select("pivot", F.struct("ring", "block").alias("at"), "doc_id", "component").join(sets, "doc_id")
-        side = lambda c: own.join(met.select("pivot", F.col(c).alias("at"), "meeting"), ["pivot", "at"]).select(*(F.col(n).alias(n) for n in ("meeting", "doc_id", "component", "shingles")))
+        sets = self.scratch.table(at("sets"), sets_of(self.docs, ids, ids.count(), self.size))
+        own = docs.select("region", F.struct("ring", "block").alias("at"), "doc_id", "component", "home").join(sets, "doc_id")
+
+        def side(c: str) -> DataFrame:
+            seated = own.join(met.select("region", F.col(c).alias("at"), "meeting"), ["region", "at"])
+            names = ("meeting", "doc_id", "component", "home", "shingles")
+            return seated.select(*(F.col(n).alias(n) for n in names)).groupBy("meeting")  # a new attribute each
+
         num, den = self.num, self.den
 
         def links(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -248,74 +429,82 @@ class Join:
             inter = intersections(list(one["shingles"]), list(two["shingles"]))
             n, m = one["shingles"].map(len).to_numpy()[:, None], two["shingles"].map(len).to_numpy()[None, :]
             ok = (inter * den >= (n + m - inter) * num) & (one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :])
+            ok &= one["home"].to_numpy()[:, None] | two["home"].to_numpy()[None, :]
             i, j = np.nonzero(ok)
             return pd.DataFrame({"a": one["doc_id"].to_numpy()[i], "b": two["doc_id"].to_numpy()[j]})
 
-        found = side("one").groupBy("meeting").cogroup(side("two").groupBy("meeting")).applyInPandas(links, "a bigint, b bigint")
-        self.edges = self.edges.unionByName(self.scratch.table(f"links-{self.steps}", found))
-        self.scratch.drop(f"sets-{self.steps}")
-
-    def finish(self, members: DataFrame) -> None:
-        """Compare the pairs of small regions that their pivot, the sizes and the windows leave open.
-
-        Regions of one pivot are one group as long as that has at most ``leaf`` documents. Its windows meet inside a task,
-        and only the pairs that they leave open are handed on."""
-        total = members.groupBy("pivot").agg(F.countDistinct("doc_id").alias("_all"))
-        region = F.when(F.col("_all") > self.leaf, F.col("region"))
-        groups = members.join(total, "pivot").groupBy("pivot", region.alias("region"), "doc_id").agg(F.first("component").alias("component"), F.min("d").alias("d"))
-        groups = self.scratch.table("groups", groups)
-        rows = groups.join(self.windows.where("n > 0").select("doc_id", "n", "window"), "doc_id")
-        num, den, radius = self.num, self.den, self.radius()
-
-        def pairs(group: pd.DataFrame) -> pd.DataFrame:
-            ids, n, d = group["doc_id"].to_numpy(), group["n"].to_numpy(), group["d"].to_numpy(np.float64)
-            own = list(group["window"])
-            inter = intersections(own, own)
-            ends = np.array([w[-1] for w in own])
-            held = np.stack([np.searchsorted(w, ends, side="right") for w in own])  # of a window, up to the end of each other
-            odd = held + held.T - 2 * inter
-            ok = (inter > 0) & (odd * (den + num) <= (n[:, None] + n[None, :]) * (den - num))
-            ok &= np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num
-            ok &= ~(np.abs(d[:, None] - d[None, :]) > radius)  # a distance not drawn prunes nothing
-            ok &= (ids[:, None] < ids[None, :]) & (group["component"].to_numpy()[:, None] != group["component"].to_numpy()[None, :])
-            i, j = np.nonzero(ok)
-            return pd.DataFrame({"a": ids[i], "b": ids[j]})
-
-        found = rows.groupBy("pivot", "region").applyInPandas(pairs, "a bigint, b bigint")
-        self.verify(found.distinct(), sift=False)
+        found = side("one").cogroup(side("two")).applyInPandas(links, "a bigint, b bigint")
+        self.link(self.scratch.table(at("links"), found.distinct()))
+        for name in ("sets", "rings", "blocks", "meetings"):
+            self.scratch.drop(at(name))
         self.relabel()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each document."""
-        found = windows(self.docs, (self.num, self.den), self.size, common_shingles(self.docs, self.size))
-        every = self.windows = self.scratch.table("windows", found)
-        classes = every.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"))
-        homes = every.drop("window", "rare").join(classes, ["n", "h1", "h2"], "left")
-        homes = self.scratch.table("classes", homes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("class")))
-        own = every.where("n > 0").join(homes.where("class = doc_id").select("doc_id"), "doc_id", "left_semi")
-        seats = own.select("doc_id", "n", "rare", F.explode("window").alias("region"))
-        central = F.shiftleft("rare", 32) + F.shiftrightunsigned(F.xxhash64("doc_id"), 32)  # one number, so that regions are hashed and not sorted
-        regions = seats.groupBy("region").agg(F.min_by("doc_id", central).alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("held")).where("held > 1 and low <> high")
-        regions = self.scratch.table("regions", regions)
-        pairs = regions.where("held = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))  # both seats are known
-        many = regions.where("held > 2").select("region", "pivot")
-        members = self.scratch.table("members", seats.drop("rare").join(sized(many, many.count()), "region"))
-        stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        known = self.verify(pairs.unionByName(stars).distinct())
-        again = homes.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-        self.edges = self.edges.unionByName(again.select("a", "b"))  # of repeated doc_ids
+        found = windows(self.docs, (self.num, self.den), self.size, ranks(self.docs, self.size))
+        self.windows = self.scratch.table("windows", found)
+        same = self.windows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("class"), F.count("*").alias("_held"))
+        same = self.scratch.table("same", same.where("_held > 1"))
+        homes = classed(self.windows, same)
+        seats = homes.where("n > 0 and class = doc_id").select("doc_id", "n", F.posexplode("window").alias("pos", "region"))
+        seats = seats.withColumn("rest", F.col("n") - F.col("pos") - 1)
+        regions = seats.groupBy("region").agg(
+            F.count("*").alias("held"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+            F.bit_xor(F.xxhash64("doc_id")).alias("print"), F.max("n").alias("_n"), F.sum("n").alias("_sum"), F.min("rest").alias("_rest"),
+        )
+        regions = self.scratch.table("regions", regions.where("held > 1 and low <> high"))
+        two = regions.where("held = 2").where(self.can_link(F.col("_rest") + 1, F.col("_sum") - F.col("_n"), F.col("_n")))
+        many = regions.where("held > 2").groupBy("held", "low", "high", "print").agg(F.min("region").alias("region"))
+        many = self.scratch.table("many", many.select("region"))
+        members = self.scratch.table("members", seats.drop("pos").join(sized(many, many.count()), "region"))
+        first = (F.shiftleft(F.col("n") - F.col("rest"), 32)) + F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+        pivot = members.groupBy("region").agg(F.min_by("doc_id", first).alias("pivot"))
+        pivot = self.scratch.table("pivots", pivot)
+        stars = members.join(pivot, "region").where("doc_id <> pivot")
+        pairs = two.select(F.col("low").alias("a"), F.col("high").alias("b"))
+        known = self.verify(pairs.unionByName(stars.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))))
+        again = homes.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("_t"))
+        again = self.scratch.table("again", again.where("_t > 1"))
+        self.link(again.where("a <> b").select("a", "b"))  # of repeated doc_ids
         self.relabel()
-        known = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), self.distance(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("d"))
-        placed = self.open_regions(members).join(known, ["pivot", "doc_id"], "left")
+        apart = 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
+        known = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), apart.alias("d"))
+        repeated = again.select("doc_id", F.lit(True).alias("_r"))
+        known = known.join(repeated, "doc_id", "left_anti").join(repeated.withColumnRenamed("doc_id", "pivot"), "pivot", "left_anti")
+        placed = self.open_regions(members).join(pivot, "region").join(known, ["pivot", "doc_id"], "left")
         placed = placed.withColumn("d", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        open_ = self.scratch.table("open", placed)
+        open_ = self.scratch.table("open", placed.withColumn("home", F.lit(True)))
+        for name in ("regions", "many", "members", "pivots"):
+            self.scratch.drop(name)
         large = open_.where(F.col("held") > self.leaf)
-        if not large.isEmpty():
-            self.rings(large)
-        self.finish(open_.where(F.col("held") <= self.leaf))
+        if not large.isEmpty():  # those with one pivot have most documents in common, and are divided as one
+            large = large.groupBy(F.col("pivot").alias("region"), "doc_id", "n").agg(F.first("component").alias("component"))
+            held = large.groupBy("region").agg(F.count("*").alias("held"))
+            self.divide(self.scratch.table("large", large.join(held, "region")))
+        self.meet(open_.where(F.col("held") <= self.leaf))
         last = self.labels.select(F.col("id").alias("class"), "component")
-        joined = homes.join(last, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
-        return joined.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+        joined = classed(self.windows.drop("window"), same).join(last, "class", "left")
+        joined = joined.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "class")).alias("component_id"))
+        result = self.scratch.table("result", joined)
+        self.scratch.keep("result")
+        return result
+
+
+def classed(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """The rows (doc_id, n, h1, h2, ...) with ``class``: the smallest doc_id of those with an equal set.
+
+    ``same`` has a row for each set that several rows hold. Where these are too many to broadcast, only those
+    with many rows are, so that no group of copies is one task."""
+    key = ["n", "h1", "h2"]
+    if same.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(same.drop("_held")), key, "left")
+        return joined.withColumn("class", F.coalesce("class", "doc_id"))
+    hot = same.where(F.col("_held") > COPIES).select(*key, F.col("class").alias("_hot"))
+    joined = rows.join(sized(hot, hot.count()), key, "left")
+    turn = F.when(F.col("_hot").isNotNull(), F.xxhash64("doc_id")).otherwise(0).alias("_turn")
+    cold = same.where(F.col("_held") <= COPIES).select(*key, "class", F.lit(0).cast("bigint").alias("_turn"))
+    joined = joined.withColumn("_turn", turn).join(cold, [*key, "_turn"], "left").drop("_turn")
+    return joined.withColumn("class", F.coalesce("_hot", "class", "doc_id")).drop("_hot")
 
 
 def join(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (4, 5), size: int = 5, leaf: int = LEAF) -> DataFrame:
@@ -326,7 +515,6 @@ def join(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (4,
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: tuple[int, int] = (4, 5), size: int = 5) -> DataFrame:
     """The documents with the smallest doc_id of their component, and rows with a null doc_id."""
     lost = join(spark, docs, threshold, size).where("component_id <> doc_id").select("doc_id")
-    lost = Scratch(spark, "lost").table("ids", lost)
     return docs.join(sized(lost, lost.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
