@@ -467,7 +467,7 @@ class Join:
         again = self.scratch.table("again", again.where("_t > 1"))
         self.link(again.where("a <> b").select("a", "b"))  # of repeated doc_ids
         self.relabel()
-        apart = 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
+        apart = 1 - F.try_divide("inter", F.col("n_a") + F.col("n_b") - F.col("inter"))
         known = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), apart.alias("d"))
         repeated = again.select("doc_id", F.lit(True).alias("_r"))
         known = known.join(repeated, "doc_id", "left_anti").join(repeated.withColumnRenamed("doc_id", "pivot"), "pivot", "left_anti")
