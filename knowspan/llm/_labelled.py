@@ -1,7 +1,9 @@
 """A bounded sample of labelled documents, for the classifiers.
 
-The sample takes the labelled rows with the smallest hashes of their doc_id, so many of each class at
-most; the bound is a parameter of each classifier. Everything but fitting reads all rows.
+The sample takes the labelled doc_ids with the smallest hashes, so many of each class at most; the bound
+is a parameter of each classifier. A doc_id with several labels counts for the largest, one with several
+texts gives its smallest text. Of a text at most ``CHARS`` characters are fitted on, so the bytes of a sample
+are bounded too. Everything but fitting reads all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -10,16 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The most characters of one text that a classifier is fitted on.
+CHARS = 200_000
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, classes: list[int], where: Column | None = None) -> DataFrame:
     """doc_id, text, label of at most ``most`` labelled documents of each class; one row for a repeated doc_id."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.where("doc_id is not null and label is not null")
     if where is not None:
         known = known.where(where)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id", F.lit(17))
     picked = None
     for value in classes:  # each a top-k: a task hands on ``most`` rows at most
         own = known.where(F.col("label") == value).orderBy(order, "doc_id").limit(most)
         picked = own if picked is None else picked.unionByName(own)
-    picked = picked.groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")  # len(classes) * most rows of 12 bytes
+    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, CHARS).alias("text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
+    found = texts.join(F.broadcast(picked), "doc_id")  # len(classes) * most rows of 12 bytes
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -64,6 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if (most := self.tokenizer.get_vocab_size(with_added_tokens=True)) > 1 << 16:
+            raise ValueError(f"ids are held in 16 bits; {path} has {most}")
         self.clear()
 
     @classmethod
@@ -77,11 +79,12 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
+        self.checks = np.zeros(0, np.uint64)  # the other half of each key
         self.slots = np.zeros(0, np.int64)
         self.firsts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         lists = [e.ids for e in found]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -91,6 +94,13 @@ class Encoder:
         self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.checks = np.insert(self.checks, at, checks)
+
+    def plainly(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, at = raw.tobytes(), offsets.tolist()
+        found = self.tokenizer.encode_batch_fast([data[a:z].decode() for a, z in zip(at, at[1:])], add_special_tokens=False)
+        lists = [np.asarray(e.ids, np.uint16) for e in found]
+        return np.concatenate([np.zeros(0, np.uint16), *lists]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts in a buffer."""
@@ -99,16 +109,20 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(n + 1, np.int64)
         starts = cuts(raw, offsets[:-1][np.diff(offsets) > 0])
         ends = np.append(starts[1:], len(raw))
-        h = tx.span_hashes(raw, starts, ends) ^ (tx.span_hashes(raw, starts, ends, second=True) << np.uint64(1))
+        h, other = tx.span_hashes(raw, starts, ends), tx.span_hashes(raw, starts, ends, second=True)
         keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if (other != other[first][which]).any():  # two chunks with one key: encoded without the cache
+            return self.plainly(raw, offsets)
         if len(self.keys) + len(keys) > KEEP:
             self.clear()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
             data = raw.tobytes()
-            self._learn(keys[new], [data[a:z].decode() for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            self._learn(keys[new], other[first[new]], [data[a:z].decode() for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
+        if (self.checks[at] != other[first]).any():
+            return self.plainly(raw, offsets)
         slot = self.slots[at][which]
         sizes = self.firsts[slot + 1] - self.firsts[slot]
         total = np.concatenate([[0], np.cumsum(sizes)])

@@ -4,12 +4,14 @@ Words are the runs of other than white space (\\x20, \\x09-\\x0D) of the lower-c
 the distinct runs of five words, or the whole sequence as one where there are fewer. An item leaks
 into a document that holds at least ``threshold`` of the item's set.
 
-The Jaccard similarity of an item and a document a thousand times as long is near zero, so the sketch
-is asymmetric: items are partitioned by the size of their sets, and each size has its own number of
-minimum hashes k, the k smallest of the item's shingles. A document of containment t misses at most
-m = q - ceil(t q) of the q shingles and so at most m of the k minima; k is 2 m + 4 (or q), and a document
-holding k - m minima is a candidate. Nothing is lost by that, however long the document. Documents too
-small for a size partition aren't joined with it. Candidates are then verified on whole sets.
+The Jaccard similarity of an item and a document a thousand times as long is near zero, so sketches aren't
+compared by it. Items are partitioned by the size of their sets, powers of ``BASE`` apart. An item's sketch
+holds its k smallest hashes. A document of containment t misses at most m = q - ceil(t q) of the q shingles and
+so at most m of the k minima; k is 2 m + 4 (or q), and a document holding k - m minima is a candidate. Each
+partition has a threshold, the largest hash in its items' sketches, and a document has a sketch for each
+partition that it is large enough for: its hashes up to that threshold (a bottom sketch). Only sketches
+meet, partition by partition, and nothing is lost, however long the document. Candidates are verified on
+whole sets. There is a row of thresholds for each partition, 64 at most, whatever the size of the benchmark.
 
 Nulls: a null or empty text has an empty set, which nothing contains and which leaks nowhere. Rows with
 a null doc_id or item_id take no part. Rows that repeat an id are one document or item with the union of
@@ -26,6 +28,8 @@ from knowspan.llm._scratch import Scratch, documents
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Sizes of items in one partition differ by less than this factor.
+BASE = 2
 #: A side of at most so many rows (16 to 40 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,19 +57,32 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold:
     misses = F.col("q") - F.ceil(F.col("q") * threshold - 1e-9)
     ranked = items.withColumn("q", per).withColumn("misses", misses).withColumn("rank", rank)
     ranked = ranked.withColumn("k", F.least("q", 2 * F.col("misses") + 4))
-    sketch = scratch.table("sketch", ranked.where("rank <= k").select("item_id", "shingle", "q", (F.col("k") - F.col("misses")).alias("need")))
-    found = shingles(docs, "doc_id", size)
-    hits = found.join(sized(sketch, sketch.count()), "shingle").where(F.greatest(F.col("words") - size + 1, F.lit(1)) >= F.ceil(F.col("q") * threshold - 1e-9))
+    part = F.floor(F.log2(F.col("q").cast("double")) / F.log2(F.lit(float(BASE)))).cast("int").alias("part")
+    held = F.ceil(F.col("q") * threshold - 1e-9).cast("bigint").alias("held")
+    ranked = ranked.where("rank <= k").select("item_id", "shingle", part, held, (F.col("k") - F.col("misses")).alias("need"))
+    sketch = scratch.table("sketch", ranked)
+    parts = sketch.groupBy("part").agg(F.max("shingle").alias("tau"), F.min("held").alias("least")).collect()
+    own = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("part", "tau", "least"))) for r in parts)) if parts else None
+    found = shingles(docs, "doc_id", size).withColumn("_held", F.greatest(F.col("words") - size + 1, F.lit(1)))
+    if own is None:
+        found = found.where("false").withColumn("part", F.lit(0))
+    else:
+        fits = F.filter(own, lambda p: (F.col("shingle") <= p["tau"]) & (F.col("_held") >= p["least"]))
+        found = found.select("doc_id", "shingle", "_held", F.explode(F.transform(fits, lambda p: p["part"])).alias("part"))
+    hits = found.join(sized(sketch, sketch.count()), ["part", "shingle"]).where("_held >= held")
     hits = hits.groupBy("doc_id", "item_id", "shingle").agg(F.first("need").alias("need"))
     candidates = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
     candidates = scratch.table("candidates", candidates.select("doc_id", "item_id"))
     n = candidates.count()
     some = docs.join(sized(candidates.select("doc_id").distinct(), n), "doc_id", "left_semi")
-    whole = items.join(F.broadcast(candidates.select("item_id").distinct()) if n <= BROADCAST_ROWS else candidates.select("item_id").distinct(), "item_id", "left_semi")
-    shared = shingles(some, "doc_id", size).select("doc_id", "shingle").distinct().join(sized(whole, items.count()), "shingle")
-    shared = shared.join(sized(candidates, n), ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    whole = items.join(sized(candidates.select("item_id").distinct(), n), "item_id", "left_semi")
+    met = shingles(some, "doc_id", size).select("doc_id", "shingle").join(sized(whole, items.count()), "shingle")
+    met = met.join(sized(candidates, n), ["doc_id", "item_id"], "left_semi").distinct()
+    shared = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    return shared.join(sizes, "item_id").withColumn("containment", F.col("shared") / F.col("n_shingles")).where(F.col("shared") >= F.ceil(F.col("n_shingles") * threshold - 1e-9)).select("doc_id", "item_id", "shared", "n_shingles", "containment")
+    joined = shared.join(sizes, "item_id").withColumn("containment", F.col("shared") / F.col("n_shingles"))
+    joined = joined.where(F.col("shared") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
+    return joined.select("doc_id", "item_id", "shared", "n_shingles", "containment")
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:

@@ -59,7 +59,7 @@ PIVOTS, SMALLER = 8, 0.75
 #: Counters of shingles, and the pieces they are summed in.
 COUNTERS, PIECES = 1 << 25, 64
 #: Pairs with the same first document that are one group; with more, several.
-BLOCK = 1024
+BLOCK = 128
 BROADCAST_ROWS = 1_000_000
 #: Copies of one set above which its class is told to all tasks where classes are too many to broadcast.
 COPIES = 10_000
@@ -101,13 +101,14 @@ def ranks(docs: DataFrame, size: int) -> np.ndarray:
         return np.frombuffer(raw, np.uint32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.uint32)
+        held = np.zeros(COUNTERS, np.uint8)  # up to 255 in a task: beyond that a shingle is common anyway
         for batch in batches:
             for _, shingles, _ in _sets(batch, size):
-                np.add.at(held, (shingles >> place).astype(np.int64), np.uint32(1))
+                at, times = np.unique((shingles >> place).astype(np.uint32), return_counts=True)
+                held[at] = np.minimum(held[at] + times, 255)
         for piece, part in enumerate(held.reshape(PIECES, -1)):
             if part.any():
-                yield rows({(piece, 0): part})
+                yield rows({(piece, 0): part.astype(np.uint32)})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -125,7 +126,7 @@ def ranks(docs: DataFrame, size: int) -> np.ndarray:
     found = found.repartition(PIECES, "piece").mapInArrow(total, schema)
     summed = found.select("piece", "counts").toArrow()  # PIECES rows at most, COUNTERS numbers
     pieces = dict(zip(summed["piece"].to_pylist(), summed["counts"]))
-    some = np.concatenate([unpack(x.as_py())[::64] for x in pieces.values()]) if pieces else np.zeros(1, np.uint32)
+    some = np.concatenate([unpack(x.as_py())[::64].copy() for x in pieces.values()]) if pieces else np.zeros(1, np.uint32)
     steps = np.unique(np.quantile(some, np.arange(1, 256) / 256, method="lower"))
     out = np.zeros((PIECES, COUNTERS // PIECES), np.uint8)
     for piece, data in pieces.items():
@@ -344,7 +345,7 @@ class Join:
         rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("_w"), "pivot"))
         heads = heads.withColumn("_r", rank).where(F.col("_r") <= PIVOTS).select("region", "pivot")
         heads = self.scratch.table(at("heads"), heads)
-        block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("held") / BLOCK)).cast("int")
+        block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("held") / LEAF)).cast("int")
         rows = members.select("region", "doc_id", "n", "component", F.col("held").alias("whole"), block.alias("block"))
         rows = self.scratch.table(at("divided"), rows)
         ids = self.scratch.table(at("ids"), rows.select("doc_id").distinct())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("knowspan.llm")
 
 from knowspan.llm import _text as tx  # noqa: E402
-from knowspan.llm import _tokens, ann, decontaminate, jaccard, line_dedup, packing, pii, quality, token_index, toxicity, warc  # noqa: E402
+from knowspan.llm import _labelled, _tokens, ann, decontaminate, jaccard, line_dedup, packing, pii, quality, token_index, toxicity, warc  # noqa: E402
 from knowspan.llm._components import components  # noqa: E402
 from knowspan.llm._scratch import Scratch  # noqa: E402
 
@@ -200,6 +200,23 @@ def test_components(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
+def test_labelled_sample_is_bounded(spark):
+    docs = frame(spark, ["b", "c"]).unionByName(frame(spark, ["a", "d"]))  # each doc_id with two texts
+    labels = spark.createDataFrame([(0, 1), (0, 0), (0, 1), (1, 0), (None, 1), (7, None)], "doc_id bigint, quality int")
+    got = _labelled.sample(docs, labels, "quality", 1, [0, 1])
+    assert sorted((r.doc_id, r.label, r.text) for r in got.collect()) == [(0, 1, "a"), (1, 0, "c")]
+
+
+def test_tokens_need_sixteen_bits_and_distinct_keys(monkeypatch, encode):
+    path = _tokens.tokenizer_path()
+    texts = ["one two three", "two one", "", "three"]
+    monkeypatch.setattr(_tokens.tx, "span_hashes", lambda raw, a, z, second=False: (z - a).astype(np.uint64) * np.uint64(1 + second) + np.where(second, raw[a], 0).astype(np.uint64))
+    clashing = _tokens.Encoder(path)
+    raw, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    ids, at = clashing.encode(raw, offsets)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == encode(texts)
+
+
 def test_leaks_of_odd_tables(spark):
     item = "one two three four five six seven eight nine ten"
     docs = frame(spark, ["x " * 500 + item.upper() + " y" * 500, item.replace("five", "5"), "one two", None, item[:30]])
@@ -265,11 +282,19 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id % 8 = 0")
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet").where("doc_id % 8 = 0")
-    model = toxicity.train(docs, labels, most=400, where=~toxicity.held_out(F.col("doc_id")))
-    held = toxicity.score(docs, model).join(labels.where(toxicity.held_out(F.col("doc_id"))), "doc_id").select("predicted", "toxic", "score", "flagged").collect()
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels, where=~toxicity.held_out(F.col("doc_id")))
+    held = labels.where(toxicity.held_out(F.col("doc_id")))
+    held = toxicity.score(docs, model).join(held, "doc_id").select("predicted", "toxic", "score", "flagged", "lang").collect()
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95
+    toxic = [r for r in held if r.toxic == 1]
+    assert np.mean([r.predicted for r in toxic]) > 0.8
+    for lang in {r.lang for r in held}:  # the threshold of a language decides ``flagged``
+        own = [r for r in held if r.lang == lang]
+        yes, no = [r.score for r in own if r.flagged], [r.score for r in own if not r.flagged]
+        assert not yes or not no or min(yes) > max(no)
+        assert np.mean([bool(r.flagged) == bool(r.toxic) for r in own]) > 0.9
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
     none = toxicity.score(frame(spark, ODD), toxicity.train(docs, labels.where("false"))).collect()
