@@ -21,8 +21,8 @@ pivot differ by more than r. Larger regions are divided again by ``PIVOTS`` of t
 components: a document's home is the region of its nearest pivot (Voronoi), and it is replicated to each
 pivot at most 2 r farther than that, by the triangle inequality the only ones in whose regions a document
 it links with can be at home. Documents meet in a region if one of them is at home there. A region is
-divided until it is one component or a leaf, or until dividing no longer makes it smaller: then its
-documents are compared in blocks, rings by the distance to its pivot meeting only at most r away.
+divided until it is one component or a leaf, or until dividing no longer makes its work smaller: then its
+documents are compared in blocks, rings by the distance to its pivot meeting only at most r away; large components have blocks of their own.
 
 Pairs that are left are settled by their windows where these have too many shingles of only one of them,
 and else by their whole sets. The links between different components are all found, so the components are
@@ -54,7 +54,7 @@ from knowspan.llm._scratch import Scratch, documents
 
 #: Regions with more documents are divided or joined in blocks of so many; smaller ones compare the pairs left.
 LEAF = 256
-#: Documents that a large region is divided by, and the share of a region that a part must stay below.
+#: Documents that a large region is divided by; the share of its work (the square of its size) its parts must stay below.
 PIVOTS, SMALLER = 8, 0.75
 #: Counters of shingles, and the pieces they are summed in.
 COUNTERS, PIECES = 1 << 25, 64
@@ -365,30 +365,38 @@ class Join:
         met = met.withColumn("_near", F.array_min("_all"))
         reached = F.filter("_all", lambda x: x["d"] <= F.col("_near.d") + 2 * self.radius())
         parts = met.withColumn("_s", F.explode(reached)).select(
-            F.xxhash64("region", "_s.pivot").alias("region"), "_s.pivot", "doc_id", "n", "component", "whole",
-            "_s.d", "_s.linked", (F.col("_s.pivot") == F.col("_near.pivot")).alias("home"),
+            F.col("region").alias("parent"), F.xxhash64("region", "_s.pivot").alias("region"), "_s.pivot", "doc_id", "n", "component",
+            "whole", "_s.d", "_s.linked", (F.col("_s.pivot") == F.col("_near.pivot")).alias("home"),
         )
         parts = self.scratch.table(at("parts"), parts)
-        for name in ("sets", "ids", "divided", "heads"):
+        for name in ("sets", "ids", "divided"):
             self.scratch.drop(at(name))
         found = parts.where("linked and doc_id <> pivot and component <> pivot")
         self.link(found.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         self.relabel()
         parts = self.scratch.table(at("open"), self.open_regions(parts))
-        small, large = parts.where(F.col("held") <= self.leaf), parts.where(F.col("held") > self.leaf)
-        shrunk = F.col("held") <= F.col("whole") * SMALLER
+        work = parts.select("parent", "region", "held", "whole").distinct().groupBy("parent", "whole")
+        work = work.agg(F.sum(F.col("held").cast("double") * F.col("held")).alias("_work"))
+        stuck = work.where(F.col("_work") > F.col("whole").cast("double") * F.col("whole") * SMALLER).select("parent")
+        stuck = self.scratch.table(at("stuck"), stuck)
+        useful = parts.join(stuck, "parent", "left_anti")
+        small, large = useful.where(F.col("held") <= self.leaf), useful.where(F.col("held") > self.leaf)
         if not small.isEmpty():
             self.meet(small.withColumn("rest", F.col("n")))  # places are of no use here
-        if not large.where(~shrunk).isEmpty():
-            self.rings(large.where(~shrunk))
-        if not large.where(shrunk).isEmpty():
-            self.divide(large.where(shrunk))
+        if not stuck.isEmpty():  # the whole region at once, by the distance to one pivot of each
+            one = heads.groupBy("region").agg(F.min("pivot").alias("pivot")).select(F.xxhash64("region", "pivot").alias("region"))
+            far = parts.join(one, "region").select("parent", "doc_id", "d")
+            rest = members.join(stuck.withColumnRenamed("parent", "region"), "region").select(F.col("region").alias("parent"), "doc_id")
+            rest = self.labelled(rest.distinct().join(far, ["parent", "doc_id"], "left"))
+            self.rings(rest.withColumnRenamed("parent", "region").withColumn("home", F.lit(True)))
+        if not large.isEmpty():
+            self.divide(large)
 
     def rings(self, members: DataFrame) -> None:
         """Compare the documents of large regions (region, doc_id, component, d, home) in blocks.
 
         Documents fall into rings by their distance to the pivot, half of r wide, and rings into blocks of about ``LEAF``
-        documents by hash; two blocks meet only if the triangle inequality lets their rings and they aren't of one component.
+        documents, those of a large component apart; two blocks meet only if the triangle inequality lets their rings and they aren't of one component.
         Only links leave a task."""
         self.steps += 1
         at = lambda name: f"{name}-{self.steps}"
@@ -399,9 +407,12 @@ class Join:
         ring = F.when(F.col("_t") == 1, F.coalesce(F.floor(F.col("d") / width).cast("int"), F.lit(-1))).otherwise(-1)
         docs = docs.withColumn("ring", ring)  # -1: how far isn't known, or differs between the texts of a repeated doc_id
         docs = self.scratch.table(at("rings"), docs)
-        size = docs.groupBy("region", "ring").agg(F.count("*").alias("held"))
-        block = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("held") / self.leaf)).cast("int")
-        docs = docs.join(size, ["region", "ring"]).withColumn("block", block)
+        size = docs.groupBy("region", "ring", "component").agg(F.count("*").alias("held"))
+        size = self.scratch.table(at("sizes"), size)
+        mixed = size.where(F.col("held") < self.leaf).groupBy("region", "ring").agg(F.sum("held").alias("mixed"))
+        deal = lambda c: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col(c) / self.leaf))
+        block = F.when(F.col("held") < self.leaf, deal("mixed")).otherwise(F.xxhash64("component", deal("held")))
+        docs = docs.join(size, ["region", "ring", "component"]).join(mixed, ["region", "ring"], "left").withColumn("block", block)
         docs = self.scratch.table(at("blocks"), docs.select("region", "doc_id", "component", "home", "ring", "block"))
         block = docs.groupBy("region", "ring", "block").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.max("home").alias("home")
