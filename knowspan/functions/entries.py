@@ -85,7 +85,8 @@ def quality_score(answer: Column) -> Column:
     inside = F.nullif(F.regexp_extract(answer, r"\{[\s\S]*\}", 0), F.lit(""))
     found = F.coalesce(F.get_json_object(inside, "$.quality_score"), F.get_json_object(inside, "$.score"))
     score = found.try_cast("double")
-    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(10.0)), 1)
+    finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    return F.when(finite, F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(10.0)), 1))
 
 
 def reason(domain: Column, suffix: Column, size: Column, score: Column) -> Column:

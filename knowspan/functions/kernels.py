@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DROP = {"script", "style", "nav", "footer", "aside", "form", "noscript", "iframe", "svg", "button", "template"}
+#: Elements whose content isn't text of the page.
+_DROP = {"script", "style", "nav", "footer", "aside", "noscript", "iframe", "form", "button", "svg"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr"}
 _BLOCK = {"p", "div", "section", "article", "main", "header", "table", "tr", "ul", "ol", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "body", "figure"}
 

@@ -52,15 +52,35 @@ def plain_title(title: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(title), r"(?i)\.(md|html?)$", ""))
 
 
-def duplicates(candidates: DataFrame, neighbours: DataFrame, settings: Attention = Attention()) -> DataFrame:
-    """Candidates (doc_id, title, bucket, embedding) with duplicate_of: a neighbour of the same title, else one of the same bucket with a cosine of at least the limit.
+def neighbourhood(entries: DataFrame, reads: DataFrame, as_of: Column, settings: Attention = Attention()) -> DataFrame:
+    """list, place, other, title, embedding of the entries (doc_id, title, embedding, distilled_at) that any other is compared
+    with: the last of the last days, then the last that were read; one more of each, as no entry is its own neighbour."""
+    titled = entries.where(F.trim("title") != "")
+    recent = titled.where(F.datediff(as_of, F.col("distilled_at")) <= settings.neighbour_days)
+    read = titled.join(reads.select("doc_id"), "doc_id", "left_semi")
+    order, found = [F.desc("distilled_at"), F.asc("doc_id")], None
+    for k, rows in enumerate((recent, read)):
+        best = rows.orderBy(*order).limit(settings.neighbours + 1).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        best = best.select(F.lit(k).alias("list"), "place", F.col("doc_id").alias("other"), "title", "embedding")
+        found = best if found is None else found.unionByName(best)
+    return found
+
 
-    Titles meet by equality; vectors within a bucket only, which the caller bounds."""
-    same = candidates.withColumn("_t", plain_title(F.col("title"))).join(neighbours.select(F.col("doc_id").alias("other"), plain_title(F.col("title")).alias("_t")), "_t").where("_t <> '' and other <> doc_id")
-    named = same.groupBy("doc_id").agg(F.min("other").alias("by_title"))
-    near = candidates.join(neighbours.select(F.col("doc_id").alias("other"), "bucket", F.col("embedding").alias("_e")), "bucket").where("other <> doc_id").where(X.cosine("embedding", "_e") >= settings.duplicate_cosine)
-    close = near.groupBy("doc_id").agg(F.min("other").alias("by_vector"))
-    return candidates.select("doc_id").join(named, "doc_id", "left").join(close, "doc_id", "left").withColumn("duplicate_of", F.coalesce("by_title", "by_vector"))
+def duplicates(candidates: DataFrame, neighbours: DataFrame, settings: Attention = Attention()) -> DataFrame:
+    """Candidates (doc_id, title, embedding) with by_title and by_vector: the first neighbour of the same title, and the first
+    whose cosine reaches the limit; duplicate_of is the one by title, else by vector. Neighbours are one row of at most
+    2 * (``neighbours`` + 1) entries for all candidates."""
+    one = F.struct("list", "place", "other", plain_title(F.col("title")).alias("t"), F.col("embedding").alias("e"))
+    hood = neighbours.agg(F.array_sort(F.collect_list(one)).alias("_hood"))
+    rows = candidates.join(F.broadcast(hood)).withColumn("_t", plain_title(F.col("title")))
+    own = lambda k: F.size(F.filter("_hood", lambda x: (x["list"] == k) & (x["other"] == F.col("doc_id")) & (x["place"] <= settings.neighbours)))
+    rows = rows.withColumn("_more", F.array(own(0), own(1)))
+    others = F.filter("_hood", lambda x: (x["other"] != F.col("doc_id")) & (x["place"] <= settings.neighbours + F.get("_more", x["list"])))
+    rows = rows.withColumn("_hood", others)
+    named = F.filter("_hood", lambda x: (x["t"] == F.col("_t")) & (F.col("_t") != ""))
+    near = F.filter("_hood", lambda x: X.cosine(F.col("embedding"), x["e"]) >= settings.duplicate_cosine)
+    found = rows.select("doc_id", F.get(named, F.lit(0))["other"].alias("by_title"), F.get(near, F.lit(0))["other"].alias("by_vector"))
+    return found.withColumn("duplicate_of", F.coalesce("by_title", "by_vector"))
 
 
 def capped(items: DataFrame, by: str, order: list[Column], settings: Attention = Attention()) -> DataFrame:
@@ -115,16 +135,20 @@ def q_touch(spark, d):
 
 def q_cooling(spark, d):
     e = table(spark, d, "events")
-    pool = e.where("event_type = 'signup' and user_id < 75").groupBy(F.col("user_id").alias("doc_id")).agg(F.min("ts").alias("entered_at"))
+    pool = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("doc_id")).agg(F.min("ts").alias("entered_at"))
     pool = pool.select("doc_id", "entered_at", (F.col("entered_at") + F.expr("INTERVAL 48 HOURS")).alias("release_at"), F.lit("cooling").alias("status"))
     fresh = e.where("event_type = 'error'").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("entered_at"))
     return release(enter_cooling(pool, fresh), F.lit("2024-01-04 00:00:00").cast("timestamp_ntz"))
 
 
 def q_duplicates(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").alias("bucket"))
-    docs = v.join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 30).alias("title")), "doc_id")
-    return duplicates(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), Attention(duplicate_cosine=0.6)).select("doc_id", "by_title", "by_vector")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    made = F.date_sub(F.lit("2024-01-31").cast("date"), (F.col("n_chars") % 60).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 30).alias("title"), made.alias("distilled_at"))
+    reads = table(spark, d, "events").where("event_type = 'view'").select(F.get_json_object("props", "$.k").cast("bigint").alias("doc_id"))
+    entries = docs.join(v, "doc_id")
+    hood = neighbourhood(entries, reads, F.lit("2024-01-31").cast("date"))
+    return duplicates(entries, hood).select("doc_id", "by_title", "by_vector", "duplicate_of")
 
 
 def q_budget_caps(spark, d):
@@ -161,10 +185,15 @@ date_diff('day', o_orderdate::DATE, DATE '{_AS_OF}') AS age, o_custkey % 4 AS to
 SQL = {
     "m06_decay_plan": f"WITH {_STATE} SELECT lifecycle, next, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM s GROUP BY 1, 2",
     "m05_touch": "SELECT doc_id, coalesce(max(ts), TIMESTAMP '2024-01-01') AS last_touched_at, count(ts) AS touch_count FROM documents LEFT JOIN events ON user_id = doc_id AND event_type = 'click' GROUP BY 1",
-    "m07_cooling_state": """WITH a AS (SELECT user_id AS doc_id, min(ts) AS entered_at FROM events WHERE event_type = 'signup' AND user_id < 75 GROUP BY 1), b AS (SELECT user_id, min(ts) FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT doc_id FROM a) GROUP BY 1),
+    "m07_cooling_state": """WITH a AS (SELECT user_id AS doc_id, min(ts) AS entered_at FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT user_id, min(ts) FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT doc_id FROM a) GROUP BY 1),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT doc_id, entered_at, entered_at + INTERVAL 48 HOUR AS release_at, CASE WHEN entered_at + INTERVAL 48 HOUR <= TIMESTAMP '2024-01-04' THEN 'released' ELSE 'cooling' END AS status FROM u""",
-    "m08_near_duplicates": r"""WITH v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e, label, lower(regexp_replace(trim(substring(text, 1, 30)), '(?i)\.(md|html?)$', '')) AS t FROM embeddings JOIN documents ON doc_id = vec_id)
-SELECT c.doc_id, (SELECT min(n.doc_id) FROM v n WHERE n.doc_id % 2 = 0 AND n.t = c.t AND c.t <> '') AS by_title, (SELECT min(n.doc_id) FROM v n WHERE n.doc_id % 2 = 0 AND n.label = c.label AND list_cosine_similarity(n.e, c.e) >= 0.6) AS by_vector FROM v c WHERE c.doc_id % 2 = 1""",
+    "m08_near_duplicates": r"""WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e, DATE '2024-01-31' - (n_chars % 60)::INTEGER AS made, trim(substring(text, 1, 30)) AS title,
+lower(regexp_replace(trim(substring(text, 1, 30)), '(?i)\.(md|html?)$', '')) AS t FROM embeddings JOIN documents ON doc_id = vec_id),
+h AS (SELECT 0 AS list, doc_id AS other, e, t, row_number() OVER (ORDER BY made DESC, doc_id) AS place FROM v WHERE title <> '' AND made >= DATE '2024-01-31' - 30
+UNION ALL SELECT 1, doc_id, e, t, row_number() OVER (ORDER BY made DESC, doc_id) FROM v WHERE title <> '' AND doc_id IN (SELECT CAST(json_extract(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'view')),
+p AS (SELECT c.doc_id, other, list, place, c.t <> '' AND c.t = h.t AS same, list_cosine_similarity(c.e, h.e) >= 0.92 AS near FROM v c JOIN h ON other <> c.doc_id AND place <= 50 + (SELECT count(*) FROM h o WHERE o.other = c.doc_id AND o.list = h.list AND o.place <= 50)),
+r AS (SELECT v.doc_id, arg_min(other, list * 1000 + place) FILTER (WHERE same) AS by_title, arg_min(other, list * 1000 + place) FILTER (WHERE near) AS by_vector FROM v LEFT JOIN p USING (doc_id) GROUP BY 1)
+SELECT *, coalesce(by_title, by_vector) AS duplicate_of FROM r""",
     "m10_budget_caps": "SELECT source, doc_id, n > 4 AS soft_capped, false AS hard_capped, greatest(n - 4, 0) AS hidden FROM (SELECT source, doc_id, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) t WHERE r <= 4",
     "m16_spaced_schedule": """WITH q AS (SELECT user_id AS doc_id, (count(*) % 5)::INTEGER AS stage FROM events WHERE event_type = 'purchase' GROUP BY 1), f AS (SELECT user_id AS doc_id, (arg_max(event_id, event_id) % 5 + 1)::INTEGER AS stars FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 GROUP BY 1),
 n AS (SELECT q.doc_id, stars, coalesce(stars <= 2, false) AS archived, CASE WHEN coalesce(stars, 5) >= 5 THEN [1, 3, 7, 14, 30] ELSE [1, 3, 7] END AS plan, stage FROM q LEFT JOIN f USING (doc_id))

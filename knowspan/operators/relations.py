@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knowspan.functions import expressions as X
-from knowspan.session import table
+from knowspan.session import shared_folder, table
 
 
 def counts_with_zero(keys: DataFrame, key: str, facts: DataFrame, name: str = "n") -> DataFrame:
@@ -73,9 +73,19 @@ def chase(links: DataFrame, key: str, to: str, hops: int = 5) -> DataFrame:
 
 
 def descendants(spark: SparkSession, tree: DataFrame, key: str, parent: str) -> DataFrame:
-    """(ancestor, descendant) of every pair, each node with itself; by a recursive query."""
-    tree.select(F.col(key).alias("k"), F.col(parent).alias("p")).createOrReplaceTempView("_tree")
-    return spark.sql("WITH RECURSIVE c (ancestor, descendant) AS (SELECT k, k FROM _tree UNION ALL SELECT c.ancestor, t.k FROM c JOIN _tree t ON t.p = c.descendant) SELECT ancestor, descendant FROM c")
+    """(ancestor, descendant) of every pair, each node with itself; a node in a loop is below all nodes of it.
+
+    Level by level, each level a join written to the shared folder, so neither depth nor the number of pairs is limited."""
+    path, level = shared_folder(spark, "tree"), 0
+    edges = tree.where(F.col(parent).isNotNull()).select(F.col(parent).alias("_up"), F.col(key).alias("_down")).distinct()
+    held = lambda k: f"{path}/level={k}"
+    tree.select(F.col(key).alias("ancestor"), F.col(key).alias("descendant")).distinct().write.parquet(held(0))
+    while not spark.read.parquet(held(level)).isEmpty():
+        below = spark.read.parquet(held(level)).join(edges, F.col("descendant") == F.col("_up")).select("ancestor", F.col("_down").alias("descendant"))
+        known = spark.read.parquet(*(held(k) for k in range(level + 1)))
+        below.distinct().join(known, ["ancestor", "descendant"], "left_anti").write.parquet(held(level + 1))
+        level += 1
+    return spark.read.parquet(*(held(k) for k in range(level + 1)))
 
 
 def subtree_sums(spark: SparkSession, tree: DataFrame, key: str, parent: str, values: DataFrame, value: str) -> DataFrame:

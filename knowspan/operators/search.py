@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from knowspan.config import Search
 from knowspan.functions import expressions as X
-from knowspan.operators import gates
+from knowspan.operators import gates, relations
 from knowspan.plans.query import Query, parse
 from knowspan.session import table
 
@@ -68,8 +68,12 @@ def fuse(routes: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return every.groupBy(key).agg(F.sum("_r").alias("base"), F.count("*").alias("routes"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: Query, query_vector: DataFrame | None, settings: Search = Search(), use_vectors: bool = True, **equal) -> DataFrame:
-    """The fused result over documents (doc_id, title, summary, text, n_chars, quality, rule): filters apply to rows after ranks are given."""
+def hybrid(docs: DataFrame, vectors: DataFrame, query: Query, query_vector: DataFrame | None, settings: Search = Search(), use_vectors: bool = True, tags: DataFrame | None = None, **equal) -> DataFrame:
+    """The fused result over documents (doc_id, title, summary, text, n_chars, quality, rule): filters apply to rows after ranks are given.
+
+    ``tags`` (doc_id, tag) is needed where the query asks for tags; a document carries one of those asked for."""
+    if query.tags and tags is None:
+        raise ValueError("the query asks for tags: hand in the table of tags")
     most = settings.limit * settings.oversample * settings.oversample
     routes = [keyword_route(docs, ["title", "summary", "source"], query.recall, "n_chars", most, **equal)]
     if query.recall:
@@ -79,6 +83,8 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: Query, query_vector: Data
         routes.append(ranked(near.select("doc_id", "score"), [F.desc("score"), F.asc("doc_id")], most))
     fused = fuse(routes, "doc_id", settings.rrf_k)
     rows = gates.keyword_filter(docs, [], None, **equal).join(F.broadcast(fused), "doc_id")  # at most ``most`` rows a route
+    if query.tags:
+        rows = relations.any_tag(rows, "doc_id", tags, "tag", query.tags)
     rows = gates.title_filter(rows, "title", query.title, query.exclude, ["title", "summary", "source"])
     rows = rows.withColumn("score", F.round(F.col("base") * (1 + X.prior("quality", "rule")), 9))
     return rows.orderBy(F.desc("score"), F.desc("n_chars"), F.desc("doc_id")).limit(settings.limit)
@@ -146,6 +152,12 @@ def q_hybrid_filtered(spark, d):
     return found.select("doc_id", "score", "routes", "n_chars")
 
 
+def q_tagged(spark, d):
+    tags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("tag"))
+    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse("the tag:t5 tag:t6"), _asked(spark, d), tags=tags)
+    return found.select("doc_id", "score", "routes", "n_chars")
+
+
 def q_replay(spark, d):
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.filter(F.transform(F.split("text", " "), lambda w: F.lower(w)), lambda w: w.rlike("^[a-z]{6,}$")), 1, 5).alias("terms"))
     return replay(table(spark, d, "documents"), queries).select("query_id", "rank", "doc_id", "hits")
@@ -166,7 +178,7 @@ def q_relaxed(spark, d):
 
 
 QUERIES = {
-    "t13_fts_short": q_fts_substring, "t13_fts_bm25": q_fts_bm25, "q03_vector_topk": q_vector_topk, "t17_rrf_fusion": q_rrf, "q02_hybrid_search": q_hybrid, "q01_search_knowledge": q_hybrid_filtered,
+    "t13_fts_short": q_fts_substring, "t13_fts_bm25": q_fts_bm25, "q03_vector_topk": q_vector_topk, "t17_rrf_fusion": q_rrf, "q02_hybrid_search": q_hybrid, "q01_search_knowledge": q_hybrid_filtered, "p13_tagged_search": q_tagged,
     "q17_baseline_replay": q_replay, "t06_query_terms": q_query_terms, "t15_snippet": q_snippet, "t40_relaxed_search": q_relaxed,
 }
 _D = "d AS (SELECT documents.doc_id, source, lang, n_chars, substring(text, 1, 80) AS title, substring(text, 81, 120) AS summary, text, quality * 10 AS quality, documents.doc_id % 11 AS rule FROM documents LEFT JOIN labels USING (doc_id))"
@@ -198,6 +210,7 @@ SQL = {
 SELECT doc_id, count(*) AS routes, round(sum(1.0::DOUBLE / (60 + r)), 9) AS base FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY 1""",
     "q02_hybrid_search": _hybrid("the", "true", "AND NOT contains(lower(title || ' ' || summary || ' ' || source), 'zzz')"),
     "q01_search_knowledge": _hybrid("ing", "lang = 'en'", "AND contains(lower(title), 'ing') AND NOT contains(lower(title || ' ' || summary || ' ' || source), 'qqq')"),
+    "p13_tagged_search": _hybrid("the", "true", "AND doc_id IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber IN (5, 6))"),
     "q17_baseline_replay": """WITH q AS (SELECT item_id AS query_id, list_slice(list_filter(list_transform(string_split(text, ' '), lambda w: lower(w)), lambda w: regexp_matches(w, '^[a-z]{6,}$')), 1, 5) AS terms FROM benchmark),
 t AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]{3,}')) AS term FROM documents),
 h AS (SELECT query_id, doc_id, count(*) AS hits FROM t JOIN w USING (term) GROUP BY 1, 2)

@@ -46,21 +46,24 @@ def followed(events: DataFrame, key: str, time: str, kind: str, first: str, then
     return rows.withColumn("followed", F.coalesce(nearest - F.col("_t") <= minutes * 60_000_000, F.lit(False))).where(F.col(kind) == first).drop("_t")
 
 
-def funnel(events: DataFrame, key: str, time: str, ident: str, kind: str, steps: tuple[str, str, str]) -> DataFrame:
-    """One row: sessions, those with a first step, those that reach the second and the third after it in order, and the rates."""
+def funnel(events: DataFrame, key: str, time: str, ident: str, kind: str, steps: tuple[str, str, str], minutes: int = 30) -> DataFrame:
+    """One row: sessions, those with a first and with a second step, those in which a second follows a first within
+    ``minutes`` (level 1) and a third a second (level 2), and the rates over sessions with the step that begins them."""
     first, second, third = steps
-    order = F.struct(F.col(time), F.col(ident))
-    per = events.groupBy(key, "session").agg(
-        F.min(F.when(F.col(kind) == first, order)).alias("a"),
-        F.max(F.when(F.col(kind) == second, order)).alias("b"),
-        F.array_sort(F.collect_list(F.when(F.col(kind) == second, order))).alias("bs"),
-        F.max(F.when(F.col(kind) == third, order)).alias("c"),
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    after = Window.partitionBy(key, "session").orderBy(time, ident).rowsBetween(1, Window.unboundedFollowing)
+    rows = events.where(F.col(kind).isin(*steps)).withColumn("_t", micros)
+    soon = lambda k: F.min(F.when(F.col(kind) == k, F.col("_t"))).over(after) - F.col("_t") <= minutes * 60_000_000
+    rows = rows.withColumn("_one", F.coalesce(soon(second), F.lit(False))).withColumn("_two", F.coalesce(soon(third), F.lit(False)))
+    per = rows.groupBy(key, "session").agg(
+        F.max(F.col(kind) == first).alias("a"), F.max(F.col(kind) == second).alias("b"),
+        F.max((F.col(kind) == first) & F.col("_one")).alias("one"), F.max((F.col(kind) == second) & F.col("_two")).alias("two"),
     )
-    next_b = F.element_at(F.filter("bs", lambda x: x > F.col("a")), 1)
-    reach = per.select(F.col("a").isNotNull().alias("begun"), (F.col("b") > F.col("a")).alias("two"), (F.col("c") > F.when(F.size(F.filter("bs", lambda x: x > F.col("a"))) > 0, next_b)).alias("three"))
-    n = reach.agg(F.count("*").alias("sessions"), F.count_if("begun").alias("with_first"), F.count_if("two").alias("level1"), F.count_if("three").alias("level2"))
-    rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 4)
-    return n.withColumn("level1_rate", rate("level1", "with_first")).withColumn("level2_rate", rate("level2", "level1"))
+    n = per.agg(*(F.count_if(c).alias(name) for c, name in (("a", "with_first"), ("b", "with_second"), ("one", "level1"), ("two", "level2"))))
+    every = events.select(key, "session").distinct().agg(F.count("*").alias("sessions"))
+    rate = lambda x, y: F.round(F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0), 4)
+    n = every.join(F.broadcast(n))  # one row each
+    return n.withColumn("level1_rate", rate("level1", "with_first")).withColumn("level2_rate", rate("level2", "with_second"))
 
 
 def attribute(searches: DataFrame, documents: DataFrame, text: str, settings: Sessions = Sessions()) -> DataFrame:
@@ -97,8 +100,7 @@ def q_session_window(spark, d):
 
 
 def q_global_sessions(spark, d):
-    some = table(spark, d, "events").where("event_type in ('signup', 'error') and user_id < 10")
-    return global_sessions(some, "ts", "event_id").groupBy("session").agg(F.count("*").alias("n"), F.min("ts").alias("begin"))
+    return global_sessions(table(spark, d, "events"), "ts", "event_id").groupBy("session").agg(F.count("*").alias("n"), F.min("ts").alias("begin"))
 
 
 def q_followed(spark, d):
@@ -141,13 +143,14 @@ _F = "f AS (SELECT event_id, user_id, props, EXISTS (SELECT 1 FROM s y WHERE y.u
 SQL = {
     "w01_sessions": f"WITH {_S} SELECT user_id, session, count(*) AS n, min(ts) AS begin, max(ts) AS \"end\" FROM s GROUP BY 1, 2",
     "w01_session_window": f"WITH {_S} SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, session, count(*) AS n FROM s GROUP BY 1, 2) t GROUP BY 1",
-    "w01_global_sessions": "WITH e AS (SELECT * FROM events WHERE event_type IN ('signup', 'error') AND user_id < 10), s AS (SELECT ts, 1 + sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, ts - lag(ts) OVER (ORDER BY ts, event_id) > INTERVAL 30 MINUTE AS gap FROM e) g) SELECT session, count(*) AS n, min(ts) AS begin FROM s GROUP BY 1",
+    "w01_global_sessions": "WITH e AS (SELECT * FROM events), s AS (SELECT ts, 1 + sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, ts - lag(ts) OVER (ORDER BY ts, event_id) > INTERVAL 30 MINUTE AS gap FROM e) g) SELECT session, count(*) AS n, min(ts) AS begin FROM s GROUP BY 1",
     "j13_followed_within": f"WITH {_S}, {_F} SELECT event_id, followed FROM f",
-    "g11_funnel_metrics": f"""WITH {_S}, a AS (SELECT user_id, session, min(row(ts, event_id)) FILTER (WHERE event_type = 'view') AS a FROM s GROUP BY 1, 2),
-b AS (SELECT a.user_id, a.session, a.a, min(row(ts, event_id)) FILTER (WHERE event_type = 'click' AND row(ts, event_id) > a.a) AS b FROM a JOIN s USING (user_id, session) GROUP BY 1, 2, 3),
-c AS (SELECT b.user_id, b.session, b.a, b.b, bool_or(event_type = 'purchase' AND row(ts, event_id) > b.b) AS c FROM b JOIN s USING (user_id, session) GROUP BY 1, 2, 3, 4),
-n AS (SELECT count(*) AS sessions, count(a) AS with_first, count(b) AS level1, count(*) FILTER (WHERE c) AS level2 FROM c)
-SELECT *, round(CASE WHEN with_first > 0 THEN level1 / with_first ELSE 0 END, 4)::DOUBLE AS level1_rate, round(CASE WHEN level1 > 0 THEN level2 / level1 ELSE 0 END, 4)::DOUBLE AS level2_rate FROM n""",
+    "g11_funnel_metrics": f"""WITH {_S}, m AS (SELECT *, event_type AS k,
+EXISTS (SELECT 1 FROM s y WHERE y.user_id = x.user_id AND y.session = x.session AND y.event_type = 'click' AND (y.ts, y.event_id) > (x.ts, x.event_id) AND y.ts <= x.ts + INTERVAL 30 MINUTE) AS one,
+EXISTS (SELECT 1 FROM s y WHERE y.user_id = x.user_id AND y.session = x.session AND y.event_type = 'purchase' AND (y.ts, y.event_id) > (x.ts, x.event_id) AND y.ts <= x.ts + INTERVAL 30 MINUTE) AS two FROM s x),
+p AS (SELECT bool_or(k = 'view') AS a, bool_or(k = 'click') AS b, bool_or(k = 'view' AND one) AS one, bool_or(k = 'click' AND two) AS two FROM m GROUP BY user_id, session),
+n AS (SELECT count(*) AS sessions, count(*) FILTER (WHERE a) AS with_first, count(*) FILTER (WHERE b) AS with_second, count(*) FILTER (WHERE one) AS level1, count(*) FILTER (WHERE two) AS level2 FROM p)
+SELECT *, round(CASE WHEN with_first > 0 THEN level1 / with_first ELSE 0 END, 4)::DOUBLE AS level1_rate, round(CASE WHEN with_second > 0 THEN level2 / with_second ELSE 0 END, 4)::DOUBLE AS level2_rate FROM n""",
     "g12_search_attribution": f"""WITH {_S}, {_F}, q AS (SELECT event_id, followed, event_id % 5 <> 0 AS has, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM f),
 o AS (SELECT q.*, CASE WHEN contains(lower(coalesce(text, '')), 'the') THEN 1.0 ELSE 0.0 END AS overlap FROM q LEFT JOIN documents ON doc_id = k)
 SELECT CASE WHEN followed THEN 'followed' WHEN NOT has THEN 'args_null' WHEN overlap < 0.2 THEN 'weak_match' ELSE 'needs_review' END AS class, count(*) AS n, min(event_id) AS first FROM o GROUP BY 1""",
