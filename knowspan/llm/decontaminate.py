@@ -63,7 +63,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold:
     sketch = scratch.table("sketch", ranked)
     parts = sketch.groupBy("part").agg(F.max("shingle").alias("tau"), F.min("held").alias("least")).collect()
     own = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("part", "tau", "least"))) for r in parts)) if parts else None
-    found = shingles(docs, "doc_id", size).withColumn("_held", F.greatest(F.col("words") - size + 1, F.lit(1)))
+    known = sketch.select("shingle").distinct()
+    found = shingles(docs, "doc_id", size).join(sized(known, known.count()), "shingle", "left_semi")  # others can't meet
+    found = found.withColumn("_held", F.greatest(F.col("words") - size + 1, F.lit(1)))
     if own is None:
         found = found.where("false").withColumn("part", F.lit(0))
     else:
