@@ -11,7 +11,8 @@ vanishing share. In each block of vectors, those whose upper bound reaches the k
 are reranked by their exact inner product in double precision; the k best of each block are merged.
 
 Queries and vectors meet in blocks of bounded size, dealt by hash, so neither a large number of equal
-vectors nor a large query set is one group. Rotation, centre and codes are the whole index: the centre is
+vectors nor a large query set is one group. Codes are of the vectors over a power of two that bounds all components,
+so no finite vector overflows. Rotation, centre and codes are the whole index: the centre is
 an average over all vectors, nothing is sampled.
 
 Vectors that are null, zero, hold null or non-finite components or haven't the length that most vectors
@@ -22,6 +23,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,13 +56,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def centre(rows: DataFrame, dim: int) -> np.ndarray:
-    """The mean of all vectors; each task hands on one row of sums."""
+def centre(rows: DataFrame, dim: int, power: int) -> np.ndarray:
+    """The mean of all vectors over 2**power; each task hands on one row of sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dim), 0
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+            x = np.ldexp(batch.column(0).flatten().to_numpy(), -power).reshape(-1, dim)
             total, n = total + x.sum(0), n + len(x)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(dim + 1), pa.int32()), "x": np.append(total, n)})
 
@@ -69,13 +71,13 @@ def centre(rows: DataFrame, dim: int) -> np.ndarray:
     return np.array([values.get(i, 0.0) for i in range(dim)]) / max(values.get(dim, 0.0), 1.0)
 
 
-def encode(rows: DataFrame, c: np.ndarray, turn: np.ndarray) -> DataFrame:
+def encode(rows: DataFrame, c: np.ndarray, turn: np.ndarray, power: int) -> DataFrame:
     """Adds code (packed bits), far = |x - c| and fit = <code, o>."""
     dim = len(c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dim) - c
+            x = np.ldexp(batch.column(1).flatten().to_numpy(), -power).reshape(-1, dim) - c
             far = np.sqrt((x * x).sum(1))
             unit = (x / np.where(far > 0, far, 1)[:, None]) @ turn.T
             bits = np.packbits(unit > 0, axis=1)
@@ -86,14 +88,14 @@ def encode(rows: DataFrame, c: np.ndarray, turn: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, code binary, far double, fit double")
 
 
-def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, far: np.ndarray, fit: np.ndarray, own: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, far: np.ndarray, fit: np.ndarray, own: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, power: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query, vec_ids, exact scores) of each query's k nearest here. ``own``: the queries' ids, which aren't candidates."""
-    dim = len(c)
+    dim, near = len(c), np.ldexp(queries, -power)
     signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(dim**0.5)
-    turned = queries @ turn.T
-    length = np.sqrt((queries * queries).sum(1))
+    turned = near @ turn.T
+    length = np.sqrt((near * near).sum(1))
     estimate = turned.astype(np.float32) @ signs.T / np.maximum(fit, 1e-9)[None, :].astype(np.float32)
-    estimate = (queries @ c)[:, None] + far[None, :] * estimate
+    estimate = (near @ c)[:, None] + far[None, :] * estimate
     spread = far * np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-9) / max(dim - 1, 1) ** 0.5 * EPSILON + 1e-6 * (far + 1)
     error = length[:, None] * spread[None, :]
     low = estimate - error
@@ -104,7 +106,8 @@ def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
     out = []
     for q in range(len(queries)):
         at = np.flatnonzero(keep[q])
-        scores = exact(queries[q], vectors[at])
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = exact(queries[q], vectors[at])
         best = np.lexsort((ids[at], -scores))[:k]
         out.append((q, ids[at][best], scores[best]))
     return out
@@ -122,13 +125,13 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: "F.Column", k: int
     """query_id, rank, vec_id, score of the k nearest of each row that ``is_query`` picks, among all other rows."""
     scratch = Scratch(spark, "ann")
     rows = scratch.table("vectors", usable(vectors))
-    lengths = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    lengths = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("top")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim, n = lengths[0].dim, lengths[0].n
+    dim, n, power = lengths[0].dim, lengths[0].n, math.frexp(lengths[0].top)[1]
     rows = rows.where(F.size("embedding") == dim)
-    c, turn = centre(rows, dim), rotation(dim)
-    index = scratch.table("index", encode(rows, c, turn))
+    c, turn = centre(rows, dim, power), rotation(dim)
+    index = scratch.table("index", encode(rows, c, turn, power))
     asked = index.where(is_query)
     blocks, parts = -(-n // BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
     deal = lambda seed, count: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
@@ -145,7 +148,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: "F.Column", k: int
         own, found = queries["vec_id"].to_numpy(), []
         args = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy()), codes, held["far"].to_numpy(), held["fit"].to_numpy()
         for a in range(0, len(q), 256):
-            for i, ids, scores in nearest_in_block(q[a : a + 256], *args, own[a : a + 256], c, turn, k):
+            for i, ids, scores in nearest_in_block(q[a : a + 256], *args, own[a : a + 256], c, turn, k, power):
                 found.append(pd.DataFrame({"query_id": own[a + i], "vec_id": ids, "score": scores}))
         return pd.concat(found) if found else empty
 

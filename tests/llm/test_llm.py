@@ -230,6 +230,25 @@ def test_leaks_of_odd_tables(spark):
 # --- vectors
 
 
+def test_ann_over_several_blocks_and_huge_values(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 90)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(400, 24))
+    for scale, k in ((1.0, 20), (1e160, 20), (1e-200, 5)):
+        held = v * scale
+        df = spark.createDataFrame([(i, [float(x) for x in row], "x") for i, row in enumerate(held)], "vec_id bigint, embedding array<double>, score string")
+        got = collections.defaultdict(list)
+        for x in sorted(ann.search(spark, df, F.col("vec_id") % 20 == 0, k).collect(), key=lambda x: (x.query_id, x.rank)):
+            got[x.query_id].append(x.vec_id)
+        assert sorted(got) == list(range(0, 400, 20)) and all(len(x) == k for x in got.values())
+        if scale == 1.0:
+            for q, ids in got.items():
+                near = v @ v[q]
+                near[q] = -np.inf
+                assert ids == np.argsort(-near, kind="stable")[:k].tolist()
+
+
 def test_ann_with_odd_vectors(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(300, 16))
