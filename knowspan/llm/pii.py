@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from knowspan.llm._scratch import documents, others
 
-KEY = "knowspan"
+#: The key of the registered query alone. It is public: whoever has the key can undo the pseudonyms.
+DRILL_KEY = "knowspan"
 ROUNDS = 10
 #: Numeral strings are permuted in pieces of so many places, halves of which fit a bigint.
 PLACES = 20
@@ -191,7 +192,7 @@ def _day(m: Column) -> Column:
     return F.datediff(F.coalesce(*(F.try_to_timestamp(m, F.lit(f)) for f in formats)).cast("date"), F.to_date(F.lit(_FIRST)))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a match; the match itself if it isn't valid."""
     digits = F.regexp_replace(m, r"\D", "")
 
@@ -290,8 +291,12 @@ def parts(m: Column) -> Column:
     return F.when(several, run).otherwise(F.array(F.struct(m.alias("text"), kind_of(m).alias("kind"))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The columns of ``docs`` with text rewritten, and pii_kinds (of each valid match in order) and n_pii."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """The columns of ``docs`` with text rewritten, and pii_kinds (of each valid match in order) and n_pii.
+
+    ``key`` is a secret of the caller: the same key gives the same pseudonyms, and without it they can't be undone."""
+    if not key:
+        raise ValueError("a key is needed")
     names = others(docs, ["pii_kinds", "n_pii"])
     text = F.col("text").cast("string")
     seen = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), text.alias("_text"))
@@ -307,7 +312,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DRILL_KEY)
 
 
 QUERIES = {"op6_pii_pseudonyms": op6_pii_pseudonyms}

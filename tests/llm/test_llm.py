@@ -355,12 +355,12 @@ def test_pseudonyms(spark):
         "card 4041894974608795 and 4041 8949 7460 8795, not 4041894974608796", None, "", "12", "mail Bob.42@mail8.example.com again bob.42@mail8.example.com",
         "born 1984-02-29, 31.12.1999, 12/31/2001 not 1984-02-30", "ip 42.144.35.254. not 300.1.1.1", "+1 (988) 555-2485, 123-45-6789", "DE89370400440532013000 but DE88370400440532013000", "x" * 20_000 + "@",
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts).withColumn("N_pii", F.lit(9))).collect()}
-    card = python_feistel("404189497460879", 10, pii.KEY, "card")
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts).withColumn("N_pii", F.lit(9)), pii.DRILL_KEY).collect()}
+    card = python_feistel("404189497460879", 10, pii.DRILL_KEY, "card")
     card += str(-luhn(card + "0") % 10)
     assert got[0].text == f"card {card} and {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}, not 4041894974608796" and got[0].pii_kinds == ["card", "card"] and luhn(card) == 0
     assert got[1].text is None and got[2].text == "" and got[3].text == "12" and got[9].text == texts[9]
-    name = python_feistel("bob42", 36, pii.KEY, "email")
+    name = python_feistel("bob42", 36, pii.DRILL_KEY, "email")
     assert got[4].text.lower() == f"mail {name[:3]}.{name[3:]}@mail8.example.com again {name[:3]}.{name[3:]}@mail8.example.com"
     dates = re.fullmatch(r"born (\d{4}-\d\d-\d\d), (\d\d\.\d\d\.\d{4}), (\d\d/\d\d/\d{4}) not 1984-02-30", got[5].text)
     assert dates and got[5].pii_kinds == ["date"] * 3 and dates[1] != "1984-02-29"
@@ -380,8 +380,8 @@ def test_pseudonyms_beside_other_numbers(spark):
         "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32 THEN", "NL91ABNA0417164300, FR1420041010050500013M02606", "GB83WEST12345698765432", "BE68 5390 0754 7034 4111 1111 1111 1111",
         "token=" + "aB3" * 3000, "_bob@mail.com -bob@mail.com " + "-" * 90 + "bob@mail.com", "AKIA" + "ABCDEFGH" * 2, "7 " * 15_000, "4111 1111 1111 1111 12bob@mail.com", "988-555-2485 4111 1111 1111 1111 123-45-6789",
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
-    body = python_feistel("411111111111111", 10, pii.KEY, "card")
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts), pii.DRILL_KEY).collect()}
+    body = python_feistel("411111111111111", 10, pii.DRILL_KEY, "card")
     card = body + str(-luhn(body + "0") % 10)
     spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
     assert got[0].text == f"card {spaced} 12/27" and got[1].text == f"{card} 123" and got[2].text == f"2024 01 {spaced} 12 27 2028"
@@ -391,9 +391,9 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert got[6].text.replace(" ", "") == got[5].text + "THEN" and [len(w) for w in got[6].text.split()] == [4, 4, 4, 4, 4, 2, 4]
     assert got[7].pii_kinds == ["iban"] * 2 and all(iban_ok(x) and x not in texts[7] for x in got[7].text.split(", "))
     assert got[8].text == texts[8] and got[9].pii_kinds == ["iban", "card"] and got[9].text.endswith(spaced) and iban_ok(got[9].text[:19])
-    value = python_feistel("ab3" * 3000, 36, pii.KEY, "secret")
+    value = python_feistel("ab3" * 3000, 36, pii.DRILL_KEY, "secret")
     assert got[10].text == "token=" + "".join(c.upper() if k % 3 == 1 else c for k, c in enumerate(value))
-    name = python_feistel("bob", 36, pii.KEY, "email")
+    name = python_feistel("bob", 36, pii.DRILL_KEY, "email")
     assert got[11].text == f"_{name}@mail.com -{name}@mail.com {'-' * 90}{name}@mail.com"
     assert got[12].pii_kinds == ["secret"] and got[12].text != texts[12]
     assert got[13].n_pii < 15_000 and re.fullmatch(r"(\d )*", got[13].text) and len(got[13].text) == 30_000
@@ -403,7 +403,7 @@ def test_pseudonyms_beside_other_numbers(spark):
 
 def test_pseudonyms_are_a_permutation(spark):
     days = spark.sql("SELECT explode(sequence(date'1990-01-01', date'1999-12-31')) AS d").select(F.date_format("d", "yyyy-MM-dd").alias("m"))
-    new = days.select(pii.pseudonym(F.col("m")).alias("p"))
+    new = days.select(pii.pseudonym(F.col("m"), pii.DRILL_KEY).alias("p"))
     assert new.distinct().count() == days.count() and new.where("try_to_timestamp(p, 'yyyy-MM-dd') is null").count() == 0
     two = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("t")).select(pii.feistel(F.col("t"), 10, "k", F.lit("x")).alias("p"))
     assert two.distinct().count() == 100
