@@ -3,8 +3,9 @@
 ``archive`` writes pages as WARC files, each record a gzip member of its own, and returns for each file
 where its records lie and their SHA-256. A replica is read back by these ordered offset ranges. Leaves
 hash the bytes of a record as found, with its range; ``FAN`` neighbours in order make a node, up to one
-root for each replica. The audit compares the roots, and from there on reads only the children of nodes
-that differ, level by level, down to the records. The digests of the writing tell which replica is wrong.
+root for each replica. The digests of the writing make a tree of their own, so what is damaged alike in
+all replicas differs too. The audit compares the roots, and from there on reads only the children of nodes
+that differ, level by level, down to the records. The digests tell which replica is wrong.
 
 A record's position is (task, file, number in the file) as one number, so a node's place is its position
 without its last digits and no global order has to be counted. Files are bounded in records and bytes;
@@ -12,7 +13,9 @@ they are written under a name of their own attempt and then renamed.
 
 Nulls: a null url gives a record without a target, a null html an empty payload; a null page_id is
 archived and reported as null. Repeated rows are records each. A missing or short file makes the records
-that can't be read damaged. Empty input: no files, no rows. Extra columns are ignored.
+that can't be read damaged; bytes after the last record of a file make that one damaged. Files that the
+archive didn't write aren't looked for. A very long page is a file of its own size and read whole by one
+task. Empty input: no files, no rows. Extra columns are ignored, as only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from knowspan.llm._scratch import Scratch, documents
 
 FAN_BITS, FILE_BITS, RECORD_BITS = 6, 12, 12
 FILE_BYTES = 16 << 20
+#: The tree of the digests and ranges of the writing, beside those of the replicas.
+WRITTEN = ""
 #: Records with these page_ids are damaged in the second replica of the drill.
 DRILL = (997, 1)
 DATE = "2024-01-01T00:00:00Z"
@@ -126,17 +131,23 @@ def replicate(files: DataFrame, source: str, target: str, damage: Callable[[int
 
 
 def leaves(files: DataFrame, replicas: dict[str, str]) -> DataFrame:
-    """replica, pos, node: the hash of each record as it lies in each replica, with its range."""
+    """replica, pos, node: the hash of each record as it lies in each replica, with its range; ``WRITTEN`` has those of the digests.
+
+    The last record of a file reaches to the file's end as found, so bytes after it are in the tree too."""
+    if WRITTEN in replicas:
+        raise ValueError("a replica needs a name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, name, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns)):
-                for replica, folder in replicas.items():
-                    data = memoryview(_get(folder, name))
-                    nodes = [hashlib.sha256(f"{a}-{n}|".encode() + hashlib.sha256(data[a : a + n]).hexdigest().encode()).hexdigest() for a, n in zip(offsets, lengths)]
+            for base, name, offsets, lengths, digests in zip(*(c.to_pylist() for c in batch.columns)):
+                ends = [a + n for a, n in zip(offsets[:-1], lengths)] + [None]
+                for replica, folder in [(WRITTEN, None), *replicas.items()]:
+                    data = memoryview(_get(folder, name) if folder else b"")
+                    found = [hashlib.sha256(data[a:z]).hexdigest() for a, z in zip(offsets, ends)] if folder else digests
+                    nodes = [hashlib.sha256(f"{a}-{n}|{x}".encode()).hexdigest() for a, n, x in zip(offsets, lengths, found)]
                     yield pa.RecordBatch.from_pydict({"replica": [replica] * len(nodes), "pos": pa.array(base + np.arange(len(nodes))), "node": nodes})
 
-    return files.select("base", "name", "offsets", "lengths").mapInArrow(run, "replica string, pos bigint, node string")
+    return files.select("base", "name", "offsets", "lengths", "digests").mapInArrow(run, "replica string, pos bigint, node string")
 
 
 def trees(found: DataFrame, scratch: Scratch) -> list[DataFrame]:
@@ -167,7 +178,7 @@ def mismatches(levels: list[DataFrame], replicas: int, scratch: Scratch) -> Data
 def audit(files: DataFrame, replicas: dict[str, str], scratch: Scratch) -> DataFrame:
     """page_id, file, offset, length, digest of each record and the replicas in which it is damaged."""
     levels = trees(leaves(files, replicas), scratch)
-    odd = mismatches(levels, len(replicas), scratch)
+    odd = mismatches(levels, len(replicas) + 1, scratch)  # and the tree of what was written
     rows = files.select("base", "name", F.posexplode(F.arrays_zip("page_ids", "offsets", "lengths", "digests")).alias("k", "r"))
     rows = rows.select((F.col("base") + F.col("k")).alias("pos"), F.col("r.page_ids").alias("page_id"), F.col("name").alias("file"), F.col("r.offsets").alias("offset"), F.col("r.lengths").alias("length"), F.col("r.digests").alias("digest"))
     seen = levels[0].join(odd, "pos", "left_semi").groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("replica", "node"))).alias("nodes"))

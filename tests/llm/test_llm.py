@@ -432,6 +432,15 @@ def test_fixity(spark):
     store.delete_file(f"{warc._file_system(scratch.at('b'))[1]}/{name}")  # a lost file
     lost = warc.audit(files, {"a": scratch.at("a"), "b": scratch.at("b")}, Scratch(spark, "warc-lost")).collect()
     assert {r.file for r in lost if r.damaged_in} >= {name} and all(r.damaged_in == ["b"] for r in lost if r.file == name)
+    ends = {r.file: r for r in sorted(found, key=lambda r: r.offset)}
+    other = next(f for f in sorted(ends) if f != name)
+    for folder in ("a", "b"):  # the same damage in all replicas, and bytes after the last record in one
+        data = bytearray(warc._get(scratch.at(folder), other))
+        data[1] ^= 1
+        warc._put(scratch.at(folder), other, bytes(data) + b"tail" * (folder == "a"))
+    alike = [r for r in warc.audit(files, {"a": scratch.at("a"), "b": scratch.at("b")}, Scratch(spark, "warc-alike")).collect() if r.file == other]
+    assert {tuple(r.damaged_in) for r in alike if r.offset == 0} == {("a", "b")}
+    assert "a" in next(r for r in alike if r.offset == ends[other].offset).damaged_in
     assert warc.audit(files.where("false"), {"a": scratch.at("a")}, Scratch(spark, "warc-none")).count() == 0
 
 
