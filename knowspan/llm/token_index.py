@@ -11,9 +11,11 @@ tells a key that the shard doesn't hold, and the key's row, so an access costs a
 the size of the shard. Files are written under a name of their own attempt and then renamed, so a
 task that runs again leaves the same file.
 
-Nulls: a null text is the empty text (only the end id); rows with a null doc_id can't be addressed
-and are left out. Rows that repeat a doc_id are stored each, in the order of their texts; a lookup
-finds them all. Empty input: no files, no rows. Extra columns are ignored.
+Nulls: a null text is the empty text (only the end id); rows with a null doc_id are stored before all
+others, in an order of hashes of their texts, by which they are dealt too, as they may be many. They have
+no key, so no lookup finds them; ``read`` returns them with a null doc_id. Rows that repeat a doc_id are
+stored each, in the order of their texts; a lookup finds the first, the others follow it. Empty input: no
+files, no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from knowspan.llm._scratch import Scratch, documents
 from knowspan.llm._text import mix
 
 END_ID = 0
-MAGIC = b"KNOWTOK1"
+MAGIC = b"KNOWTOK2"
 #: Ids in a shard; a partition that holds more writes several.
 SHARD_IDS = 8 << 20
 _U = np.uint64
@@ -103,14 +105,14 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 def pack_shard(keys: np.ndarray, lengths: np.ndarray) -> bytes:
-    """All of a shard but its ids. ``keys`` ascend; a repeated key is addressed by its first row."""
+    """All of a shard but its ids. ``keys`` ascend and belong to the last rows, those before have none; a repeated key is addressed by its first row."""
     distinct, first = np.unique(keys, return_index=True)
     h = PerfectHash.build(distinct)
     slot = h.slots(distinct)
     prints, rows = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
-    prints[slot], rows[slot] = fingerprints(distinct), first
+    prints[slot], rows[slot] = fingerprints(distinct), first + len(lengths) - len(keys)
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-    sizes = np.array([len(keys), len(distinct), len(h.sizes), len(h.words), len(h.rest), starts[-1]], "<i8")
+    sizes = np.array([len(lengths), len(keys), len(distinct), len(h.sizes), len(h.words), len(h.rest), starts[-1]], "<i8")
     return b"".join([MAGIC, *(x.tobytes() for x in (sizes, keys.astype("<i8"), starts, h.sizes.astype("<i8"), h.words.astype("<u8"), h.rest.astype("<i8"), prints, rows))])
 
 
@@ -119,12 +121,12 @@ class Shard:
 
     def __init__(self, uri: str):
         self.file = _file_system(uri)[0].open_input_file(_file_system(uri)[1])
-        head = self.file.read(8 + 48)
+        head = self.file.read(8 + 56)
         if head[:8] != MAGIC:
             raise ValueError(f"{uri} is no token shard")
-        n, distinct, levels, words, rest, self.n_ids = np.frombuffer(head[8:], "<i8").tolist()
+        n, keyed, distinct, levels, words, rest, self.n_ids = np.frombuffer(head[8:], "<i8").tolist()
         take = lambda count, kind: np.frombuffer(self.file.read(count * np.dtype(kind).itemsize), kind)
-        self.keys, self.starts = take(n, "<i8"), take(n + 1, "<i8")
+        self.keys, self.starts, self.nulls = take(keyed, "<i8"), take(n + 1, "<i8"), n - keyed
         self.hash = PerfectHash(take(levels, "<i8"), take(words, "<u8"), take(rest, "<i8"))
         self.prints, self.rows = take(distinct, "<u4"), take(distinct, "<u4")
         self.payload = self.file.tell()
@@ -155,7 +157,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, end_id: int = END_I
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         lists: list[np.ndarray] = []
         held = 0
 
@@ -166,7 +168,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, end_id: int = END_I
             name = f"{base}/shard-{part:06d}-{seq:04d}.tok"
             trial = f"{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(trial) as out:
-                out.write(pack_shard(np.array(keys, np.int64), np.array([len(x) for x in lists], np.int64)))
+                out.write(pack_shard(np.array([k for k in keys if k is not None], np.int64), np.array([len(x) for x in lists], np.int64)))
                 for x in lists:
                     out.write(x.tobytes())
             store.move(trial, name)
@@ -177,7 +179,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, end_id: int = END_I
         for batch in batches:
             own = batch.column(0).to_pylist()
             for row, ids in _tokens.encode_column(batch.column(1), path):
-                if held >= shard_ids and own[row] != keys[-1]:
+                if held >= shard_ids and (own[row] is None or own[row] != keys[-1]):
                     yield flush()
                 keys.append(own[row])
                 lists.append(np.append(ids, np.uint16(end_id)).astype("<u2"))
@@ -185,8 +187,9 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, end_id: int = END_I
         if keys:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, "text")
     return dealt.mapInArrow(save, "part int, seq int, path string, n_docs bigint, n_ids bigint")
 
 
@@ -198,10 +201,12 @@ def read(shards: DataFrame) -> DataFrame:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(uri)
                 first = shard.find(shard.keys)  # by the hash, each stored key
-                fresh = np.concatenate([[True], shard.keys[1:] != shard.keys[:-1]])
-                if (first != np.flatnonzero(fresh)[np.cumsum(fresh) - 1]).any():
+                fresh = np.append(True, shard.keys[1:] != shard.keys[:-1])[: len(first)]
+                leader = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]  # the first of the rows with this key
+                if (first != shard.nulls + leader).any():
                     raise ValueError(f"{uri}: the index doesn't lead to its documents")
-                rows = first + np.arange(len(first)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                rows = np.concatenate([np.arange(shard.nulls), first + np.arange(len(first)) - leader])
+                doc_ids = pa.array(np.concatenate([np.zeros(shard.nulls, np.int64), shard.keys]), mask=np.arange(len(rows)) < shard.nulls)
                 crcs, a = np.zeros(len(rows), np.int64), 0
                 while a < len(rows):  # a few MB of ids at once
                     z = max(a + 1, int(np.searchsorted(shard.starts, shard.starts[a] + (2 << 20), side="right")) - 1)
@@ -209,7 +214,7 @@ def read(shards: DataFrame) -> DataFrame:
                     for r in range(a, z):
                         crcs[r] = zlib.crc32(ids[shard.starts[r] - shard.starts[a] : shard.starts[r + 1] - shard.starts[a]].tobytes())
                     a = z
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.keys), "start": pa.array(base + shard.starts[rows]), "n_tokens": pa.array(shard.starts[rows + 1] - shard.starts[rows]), "ids_crc32": pa.array(crcs[rows])})
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "start": pa.array(base + shard.starts[rows]), "n_tokens": pa.array(shard.starts[rows + 1] - shard.starts[rows]), "ids_crc32": pa.array(crcs[rows])})
 
     return shards.select("path", "base").mapInArrow(load, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -91,17 +91,26 @@ def test_fullest_is_the_fullest():
 
 def test_token_shards(spark, encode):
     texts = ["b", *ODD, "longer text, " * 50]
-    docs = frame(spark, texts).unionByName(frame(spark, ["zz"], 3)).unionByName(spark.createDataFrame([(None, "lost", "en", "s", 4)], DOCS))
+    docs = frame(spark, texts).unionByName(frame(spark, ["zz"], 3)).unionByName(spark.createDataFrame([(None, t, "en", "s", 4) for t in ("no id", None, "nor this " * 90)], DOCS))
     scratch = Scratch(spark, "test")
     shards = scratch.table("shards", token_index.write(spark, docs, scratch.at("ids"), shard_ids=200))
     assert shards.count() > 1
-    got = sorted(tuple(r) for r in token_index.read(token_index.with_bases(shards)).collect())
+    got = sorted((tuple(r) for r in token_index.read(token_index.with_bases(shards)).collect()), key=lambda r: r[1])
     expected, start = [], 0
+    for text in sorted(["no id", None, "nor this " * 90], key=lambda t: (got[0][2], got[1][2], got[2][2]).index(len(encode([t])[0]) + 1)):  # any order, before all others
+        ids = encode([text])[0] + [0]
+        expected.append((None, start, len(ids), crc(ids)))
+        start += len(ids)
     for k, t in sorted([*enumerate(texts), (3, "zz")], key=lambda x: (x[0], x[1] or "")):
         ids = encode([t])[0] + [0]
         expected.append((k, start, len(ids), crc(ids)))
         start += len(ids)
-    assert got == sorted(expected)
+    assert got == expected
+    none = docs.where("false")
+    assert token_index.write(spark, none, scratch.at("none")).count() == 0
+    for row in shards.collect():
+        own = token_index.Shard(row.path)
+        assert all(own.ids(r)[-1] == 0 and own.keys[r - own.nulls] == k for k, r in zip(own.keys, own.find(own.keys)))
     shard = token_index.Shard(shards.orderBy("part", "seq").first().path)
     assert (shard.find(np.array([10**9, -5])) == -1).all()
 
