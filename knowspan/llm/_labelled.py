@@ -2,18 +2,19 @@
 
 The sample takes the labelled doc_ids with the smallest hashes, so many of each class at most; the bound
 is a parameter of each classifier. A doc_id with several labels counts for the largest, one with several
-texts gives its smallest text. Of a text at most ``CHARS`` characters are fitted on, so the bytes of a sample
-are bounded too. Everything but fitting reads all rows and whole texts.
+texts gives its smallest text. Texts are never cut; a sample ends where its texts, in the order of those
+hashes, reach ``BYTES`` in total, so what a driver holds is bounded too. Everything but fitting reads all rows and whole texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-#: The most characters of one text that a classifier is fitted on.
-CHARS = 200_000
+#: Bytes of all texts of a sample.
+BYTES = 64 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, classes: list[int], where: Column | None = None) -> DataFrame:
@@ -28,7 +29,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, classes: l
     for value in classes:  # each a top-k: a task hands on ``most`` rows at most
         own = known.where(F.col("label") == value).orderBy(order, "doc_id").limit(most)
         picked = own if picked is None else picked.unionByName(own)
-    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, CHARS).alias("text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
     found = texts.join(F.broadcast(picked), "doc_id")  # len(classes) * most rows of 12 bytes
-    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    run = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # ``most`` rows of a class
+    before = F.coalesce(F.sum(F.octet_length("text")).over(run), F.lit(0))
+    return found.withColumn("_before", before).where(F.col("_before") < BYTES // len(classes)).drop("_before")

@@ -182,8 +182,11 @@ def kind_of(m: Column) -> Column:
 
 
 def _format(m: Column) -> Column:
-    european = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull()
-    return F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("."), "dd.MM.yyyy").when(european, "dd/MM/yyyy").otherwise("MM/dd/yyyy")
+    """Which strings a date is among. With slashes there are three sets that have no string in common: those that
+    are dates either way, read as day and month, and those that are dates one way only."""
+    low = lambda at: F.substr(m, F.lit(at), F.lit(2)) <= "12"
+    slashes = F.when(low(1) & low(4), "either").when(low(4), "dd/MM/yyyy").otherwise("MM/dd/yyyy")
+    return F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("."), "dd.MM.yyyy").otherwise(slashes)
 
 
 def _day(m: Column) -> Column:
@@ -209,13 +212,19 @@ def pseudonym(m: Column, key: str) -> Column:
     pair = F.array(_rounds(F.get(octets, 0) * 256 + F.get(octets, 1), F.get(octets, 2) * 256 + F.get(octets, 3), half, half, key, F.lit("ip")))
     ip = F.get(F.transform(pair, lambda s: F.concat_ws(".", *(F.floor(x).cast("string") for x in (s["a"] / 256, s["a"] % 256, s["b"] / 256, s["b"] % 256)))), 0)
 
+    own = _format(m)
+
     def day_step(d: Column) -> Column:
-        one = F.array(_rounds(F.floor(d / _HALVES[1]), F.pmod(d, F.lit(_HALVES[1])), F.lit(_HALVES[0]), F.lit(_HALVES[1]), key, F.lit("date")))
+        one = F.array(_rounds(F.floor(d / _HALVES[1]), F.pmod(d, F.lit(_HALVES[1])), F.lit(_HALVES[0]), F.lit(_HALVES[1]), key, F.concat(F.lit("date"), F.regexp_extract(own, "either|/.*", 0))))
         return F.get(F.transform(one, lambda s: (s["a"] * _HALVES[1] + s["b"]).cast("bigint")), 0)
 
-    day = walk(_day(m).cast("bigint"), day_step, lambda d: d < _DAYS)
+    def in_set(d: Column) -> Column:
+        early = F.dayofmonth(F.date_add(F.to_date(F.lit(_FIRST)), d.cast("int"))) <= 12
+        return (d < _DAYS) & F.when(own == "either", early).when(own.contains("/"), ~early).otherwise(True)
+
+    day = walk(_day(m).cast("bigint"), day_step, in_set)
     dates = F.get(F.transform(F.array(day), lambda d: F.date_add(F.to_date(F.lit(_FIRST)), d.cast("int"))), 0)
-    date = F.get(F.transform(F.array(dates), lambda d: F.when(_format(m) == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(_format(m) == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).when(_format(m) == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))), 0)
+    date = F.get(F.transform(F.array(dates), lambda d: F.when(own == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(own == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy")).when(own == "MM/dd/yyyy", F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))), 0)
 
     ten = F.substr(digits, F.length(digits) - 9, F.lit(10))
     phone = walk(ten, lambda d: feistel(d, 10, key, F.lit("phone")), lambda d: d.rlike(r"^[2-9]\d\d[2-9]"))

@@ -473,3 +473,25 @@ def test_pipeline(spark):
     assert decontaminate.leaks(spark, tables[4], spark.read.parquet(f"{D}/benchmark.parquet")).count() == 0
     assert tables[5].select("doc_id").distinct().count() == counts[4]
     assert corpus_pipeline.run(spark, D).count() == counts[5]
+
+
+def test_dates_stay_apart(spark):
+    """Every date of twenty years in all four forms: valid pseudonyms of the same form, different for different strings, and whichever way a string can be read only within its own set."""
+    import datetime
+
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(k) for k in range(7305)]
+    given = sorted({d.strftime(f) for d in days for f in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y")})
+    found = {r.m: r.p for r in spark.createDataFrame([(g,) for g in given], "m string").select("m", pii.pseudonym(F.col("m"), "k").alias("p")).collect()}
+    assert len(set(found.values())) == len(given)
+
+    def ways(t):
+        out = set()
+        for f in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
+            try:
+                datetime.datetime.strptime(t, f)
+                out.add(f)
+            except ValueError:
+                pass
+        return out
+
+    assert all(ways(m) == ways(p) for m, p in found.items())
