@@ -146,7 +146,7 @@ def q_duplicates(spark, d):
     made = F.date_sub(F.lit("2024-01-31").cast("date"), (F.col("n_chars") % 60).cast("int"))
     docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 30).alias("title"), made.alias("distilled_at"))
     reads = table(spark, d, "events").where("event_type = 'view'").select(F.get_json_object("props", "$.k").cast("bigint").alias("doc_id"))
-    entries = docs.join(v, "doc_id")
+    entries = docs.join(v, "doc_id", "left")
     hood = neighbourhood(entries, reads, F.lit("2024-01-31").cast("date"))
     return duplicates(entries, hood).select("doc_id", "by_title", "by_vector", "duplicate_of")
 

@@ -27,6 +27,18 @@ def suggestions(branches: list[DataFrame], most: int = 3) -> DataFrame:
     return first.orderBy("_list", "pos").limit(most)
 
 
+def related(docs: DataFrame, opened: DataFrame, group: str, most: int = 5) -> DataFrame:
+    """of, n (from 1), doc_id, opens: for each document the ``most`` opened ones of its group, those with the most opens first.
+
+    A group is reduced to its best ``most`` + 1, one of which may be the document itself, and each document meets that one row."""
+    order = Window.partitionBy(group).orderBy(F.desc("opens"), "doc_id")
+    best = opened.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most + 1)
+    lists = best.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "doc_id", "opens"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["opens"].alias("opens"))).alias("_best"))
+    others = F.slice(F.filter("_best", lambda x: x["doc_id"] != F.col("of")), 1, most)
+    met = docs.select(F.col("doc_id").alias("of"), group).join(lists, group).select("of", F.posexplode(others).alias("n", "_x"))
+    return met.select("of", (F.col("n") + 1).alias("n"), "_x.doc_id", "_x.opens")
+
+
 def merge_tags(bridge: DataFrame, item: str, tag: str, canonical: DataFrame) -> DataFrame:
     """The bridge with tags moved to their canonical ones (tag, to); a pair that then repeats stays once."""
     moved = bridge.join(canonical.select(F.col("tag").alias(tag), "to"), tag, "left")
@@ -58,7 +70,7 @@ def profile(reads: DataFrame, domains: DataFrame, labels: DataFrame, least: int
 
 def evict(claims: DataFrame, by: str, cost: str, budget: float) -> DataFrame:
     """Claims that stay within a budget: those with the fewest evidence go first, later ones before earlier."""
-    return windows.within_budget(claims, [by], [F.desc("evidence"), F.asc("id")], cost, budget)
+    return windows.within_budget(claims, [by], ["-evidence", "id"], cost, budget)
 
 
 def checks(rows: list[tuple[str, DataFrame, int]]) -> DataFrame:
@@ -76,11 +88,11 @@ def _files(spark, d) -> DataFrame:
 
 
 def _pool(spark, d) -> DataFrame:
-    return _files(spark, d).where("doc_id % 13 = 1").select("doc_id", F.col("rule").alias("score"), F.col("doc_id").alias("id"))
+    return _files(spark, d).where("quality = 1").select("doc_id", F.col("rule").alias("score"), F.col("doc_id").alias("id"))
 
 
 def q_daily_picks(spark, d):
-    return daily_picks(_pool(spark, d).where("doc_id < 40"), _files(spark, d), 19754)
+    return daily_picks(_pool(spark, d), _files(spark, d), 19754)
 
 
 def q_preview(spark, d):
@@ -103,9 +115,7 @@ def q_suggestions(spark, d):
 def q_related(spark, d):
     e = table(spark, d, "events").where("event_type = 'click' and ts >= '2024-01-01'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("opens"))
     docs = table(spark, d, "documents").select("doc_id", "source")
-    opened = docs.join(e, "doc_id")
-    pairs = docs.where("doc_id < 40").select(F.col("doc_id").alias("of"), "source").join(opened, "source").where("of <> doc_id")
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("opens"), "doc_id"))).where("n <= 5").select("of", "n", "doc_id", "opens")
+    return related(docs, docs.join(e, "doc_id"), "source").select("of", "n", "doc_id", "opens")
 
 
 def q_tag_merge(spark, d):
@@ -180,8 +190,8 @@ def q_daily_report(spark, d):
 
 
 def q_triage(spark, d):
-    files = table(spark, d, "documents").select("doc_id", F.ceil(F.least(F.octet_length("text"), F.lit(4096)) / 2).cast("bigint").alias("tokens"), "n_chars").withColumn("all", F.lit(1))
-    chosen = windows.within_budget(files.orderBy(F.desc("n_chars"), "doc_id").limit(500), ["all"], [F.desc("n_chars"), F.asc("doc_id")], "tokens", 100_000)
+    files = table(spark, d, "documents").select("doc_id", F.ceil(F.least(F.octet_length("text"), F.lit(4096)) / 2).cast("bigint").alias("tokens"), "n_chars")
+    chosen = windows.within_budget(files, [], ["-n_chars", "doc_id"], "tokens", 100_000)
     return chosen.select("doc_id", "tokens", "used")
 
 
@@ -196,7 +206,7 @@ QUERIES = {
 }
 _FILES = "f AS (SELECT documents.doc_id, lang, source, n_chars AS size, quality, documents.doc_id % 11 AS rule FROM documents LEFT JOIN labels USING (doc_id))"
 SQL = {
-    "q06_daily_picks": f"""WITH {_FILES}, p AS (SELECT doc_id, row_number() OVER (ORDER BY rule DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM f WHERE doc_id % 13 = 1 AND doc_id < 40), s AS (SELECT doc_id FROM p WHERE i // 3 = 19754 % ((n + 2) // 3)),
+    "q06_daily_picks": f"""WITH {_FILES}, p AS (SELECT doc_id, row_number() OVER (ORDER BY rule DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM f WHERE quality = 1), s AS (SELECT doc_id FROM p WHERE i // 3 = 19754 % ((n + 2) // 3)),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY quality IS NOT NULL DESC, coalesce(quality, 0) * 3 + rule DESC, size DESC, doc_id) AS r FROM f WHERE doc_id NOT IN (SELECT doc_id FROM p))
 SELECT doc_id, false AS out_of_pool FROM s UNION ALL SELECT doc_id, true FROM o WHERE r <= 3 - (SELECT count(*) FROM s)""",
     "q07_recommend_preview": f"""WITH {_FILES}, e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS opens, count(*) FILTER (WHERE event_type = 'purchase') AS done FROM events GROUP BY 1)
@@ -206,7 +216,7 @@ b AS (SELECT user_id AS doc_id, 1 AS l, row_number() OVER (ORDER BY count(*) DES
 c AS (SELECT doc_id, 2 AS l, row_number() OVER (ORDER BY doc_id % 11 DESC, doc_id) AS pos FROM documents ORDER BY pos LIMIT 9),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l, pos) = 1)
 SELECT doc_id, CASE l WHEN 0 THEN 'due' WHEN 1 THEN 'hot' ELSE 'goal' END AS why FROM k ORDER BY l, pos LIMIT 3""",
-    "q10_related_reading": "WITH e AS (SELECT user_id, count(*) AS opens FROM events WHERE event_type = 'click' AND ts >= DATE '2024-01-01' GROUP BY 1) SELECT a.doc_id AS \"of\", row_number() OVER (PARTITION BY a.doc_id ORDER BY opens DESC, b.doc_id)::INTEGER AS n, b.doc_id, opens FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id JOIN e ON user_id = b.doc_id WHERE a.doc_id < 40 QUALIFY n <= 5",
+    "q10_related_reading": "WITH e AS (SELECT user_id, count(*) AS opens FROM events WHERE event_type = 'click' AND ts >= DATE '2024-01-01' GROUP BY 1) SELECT a.doc_id AS \"of\", row_number() OVER (PARTITION BY a.doc_id ORDER BY opens DESC, b.doc_id)::INTEGER AS n, b.doc_id, opens FROM documents a JOIN documents b ON a.source = b.source AND a.doc_id <> b.doc_id JOIN e ON user_id = b.doc_id QUALIFY n <= 5",
     "m11_tag_merge": "WITH k AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(substring(p_name, 1, 6))) AS c FROM part) SELECT c AS l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN k ON p_partkey = l_partkey GROUP BY 1",
     "m13_proposals": "WITH g AS (SELECT p_partkey, p_brand, min(p_partkey) OVER w AS c, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_size)) SELECT p_partkey AS tag, c AS \"to\" FROM g WHERE n <= 3 AND p_partkey <> c",
     "m15_subtree_delete": "SELECT node, count(*) AS n FROM (SELECT CASE WHEN n_regionkey = 1 OR n_nationkey = 3 THEN NULL ELSE 'n' || n_nationkey END AS node FROM customer JOIN nation ON n_nationkey = c_nationkey) t GROUP BY 1",
@@ -221,6 +231,6 @@ UNION ALL SELECT 'without vector', count(*), count(*) <= 600 FROM documents WHER
     "g24_weekly_clusters": "SELECT strftime(o_orderdate, '%G-W%V') AS week, o_orderpriority AS domain, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders WHERE o_orderstatus <> 'P' AND isodow(o_orderdate) < 7 GROUP BY 1, 2",
     "g15_week_card": "WITH e AS (SELECT *, event_id % 5 + 1 AS star FROM events WHERE ts >= DATE '2024-01-24' AND ts < DATE '2024-01-31') SELECT count(*) AS opened, count(DISTINCT user_id) AS docs, count(*) FILTER (WHERE event_type = 'purchase') AS done, " + ", ".join(f"count(*) FILTER (WHERE event_type = 'click' AND star = {s}) AS star{s}" for s in range(1, 6)) + ", round(avg(star) FILTER (WHERE event_type = 'click'), 2)::DOUBLE AS mean_star FROM e",
     "g23_daily_report": "SELECT o_orderdate::DATE AS day, count(*) AS distilled, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders WHERE o_orderdate >= DATE '1998-06-01' GROUP BY 1",
-    "q25_triage_selection": "SELECT doc_id, tokens, used FROM (SELECT doc_id, tokens, (sum(tokens) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM (SELECT doc_id, n_chars, ceil(least(strlen(text), 4096) / 2)::BIGINT AS tokens FROM documents ORDER BY n_chars DESC, doc_id LIMIT 500) a) t WHERE used <= 100000",
+    "q25_triage_selection": "SELECT doc_id, tokens, used FROM (SELECT doc_id, tokens, (sum(tokens) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM (SELECT doc_id, n_chars, ceil(least(strlen(text), 4096) / 2)::BIGINT AS tokens FROM documents) a) t WHERE used <= 100000",
     "k04_export_manifest": "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents",
 }

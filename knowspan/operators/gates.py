@@ -204,8 +204,8 @@ def q_log_filter(spark, d):
 
 def q_import_match(spark, d):
     docs = _docs(spark, d).select("doc_id", F.lower(F.substring("text", 1, 40)).alias("head"))
-    known = docs.where("doc_id % 3 = 0").groupBy("head").agg(F.min("doc_id").alias("keeper"))
-    imported = docs.where("doc_id % 3 = 1").join(known, "head", "left").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    known = table(spark, d, "pages").select(F.lower(F.regexp_extract("html", "<p>([^<]{1,40})", 1)).alias("head")).groupBy("head").agg(F.count("*").alias("keeper"))
+    imported = docs.join(known, "head", "left").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     kind = match_class(F.col("head"), F.col("keeper"), F.col("quality"))
     return imported.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
@@ -239,7 +239,7 @@ SQL = {
     "p12_time_bounds": "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 12:00:00' GROUP BY 1",
     "p23_private_urls": r"SELECT page_id, false AS blocked, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages",
     "p18_log_filter": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE (contains(lower(event_type), 'error') OR contains(lower(props), 'error')) AND value > 0 GROUP BY 1",
-    "p21_import_match": """WITH d AS (SELECT doc_id, lower(substring(text, 1, 40)) AS head FROM documents), k AS (SELECT head, min(doc_id) AS keeper FROM d WHERE doc_id % 3 = 0 GROUP BY 1)
+    "p21_import_match": """WITH d AS (SELECT doc_id, lower(substring(text, 1, 40)) AS head FROM documents), k AS (SELECT lower(regexp_extract(html, '<p>([^<]{1,40})', 1)) AS head, count(*) AS keeper FROM pages GROUP BY 1)
 SELECT CASE WHEN quality IS NOT NULL THEN 'already' WHEN keeper IS NOT NULL THEN 'matched' ELSE 'standalone' END AS kind, count(*) AS n, min(d.doc_id) AS first
-FROM d LEFT JOIN k USING (head) LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 = 1 GROUP BY 1""",
+FROM d LEFT JOIN k USING (head) LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""",
 }

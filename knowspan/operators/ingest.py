@@ -112,7 +112,7 @@ def q_clean_title(spark, d):
 
 
 def q_compress(spark, d):
-    return table(spark, d, "documents").where("n_chars > 3000").select("doc_id", F.length(K.compress_column("text")).alias("length"))
+    return table(spark, d, "documents").select("doc_id", K.compress_column("text").alias("text")).select("doc_id", F.length("text").alias("length"), F.sha2("text", 256).alias("sha256"))
 
 
 QUERIES = {

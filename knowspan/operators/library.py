@@ -37,11 +37,9 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 50)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size), rows.agg(F.count("*").alias("total"))
 
 
-def with_tags(rows: DataFrame, bridge: DataFrame, tag: str = "tag", most: int = 1000) -> DataFrame:
-    """Adds tags, sorted. Only bridges of the rows are read; a row carries at most ``most`` tags."""
+def with_tags(rows: DataFrame, bridge: DataFrame, tag: str = "tag") -> DataFrame:
+    """Adds tags, sorted. Only bridges of the rows are read."""
     held = bridge.join(rows.select("doc_id"), "doc_id", "left_semi").select("doc_id", tag).distinct()
-    first = Window.partitionBy("doc_id").orderBy(tag)
-    held = held.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
     tags = held.groupBy("doc_id").agg(F.array_sort(F.collect_list(tag)).alias("tags"))
     return rows.join(tags, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 

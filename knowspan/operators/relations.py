@@ -210,8 +210,8 @@ def q_tree_rollup(spark, d):
 
 def q_relink(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
-    gone = docs.where("doc_id % 2 = 0").groupBy("md5").agg(F.min("doc_id").alias("from_id"))
-    return docs.where("doc_id % 2 = 1").join(gone, "md5").select("doc_id", "from_id")
+    first = docs.groupBy("md5").agg(F.min("doc_id").alias("from_id"))
+    return docs.join(first, "md5").where("doc_id <> from_id").select("doc_id", "from_id")
 
 
 QUERIES = {
@@ -233,7 +233,7 @@ SQL = {
     "j10_prefix_join": "SELECT root, count(*) AS n, min(path) AS first FROM (SELECT path, CASE WHEN starts_with(path, '/kb/src1/fr/') THEN '/kb/src1/fr' WHEN starts_with(path, '/kb/src1/') THEN '/kb/src1' WHEN starts_with(path, '/kb/src2/en/') THEN '/kb/src2/en/' ELSE '/kb/' END AS root FROM (SELECT '/kb/' || source || '/' || lang || '/' || doc_id AS path FROM documents) p) t GROUP BY 1",
     "j11_first_message": "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, substring(arg_min(text, turn) FILTER (WHERE role = 'user'), 1, 100) AS first_message FROM conversations GROUP BY 1",
     "j12_json_key_join": "SELECT lang, event_type, count(*) AS n FROM events JOIN documents ON doc_id = CAST(json_extract(props, '$.k') AS BIGINT) GROUP BY 1, 2",
-    "j17_relink": "SELECT a.doc_id, min(b.doc_id) AS from_id FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND b.doc_id % 2 = 0 WHERE a.doc_id % 2 = 1 GROUP BY 1",
+    "j17_relink": "SELECT doc_id, from_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS from_id FROM documents) t WHERE doc_id <> from_id",
     "u01_union_distinct": "SELECT doc_id % 10 AS bucket, count(*) AS n FROM (SELECT doc_id FROM documents WHERE lang = 'fr' UNION SELECT doc_id FROM documents WHERE source = 'src2' UNION SELECT doc_id FROM labels WHERE quality = 0) t GROUP BY 1",
     "u03_bag_concat_page": "SELECT * FROM (SELECT doc_id AS id, 'document' AS kind, n_chars FROM documents UNION ALL SELECT page_id, 'page', NULL FROM pages) t ORDER BY n_chars DESC NULLS LAST, kind, id LIMIT 20 OFFSET 40",
     "u04_tombstone_plan": """WITH seen AS (SELECT doc_id, source FROM documents WHERE doc_id % 9 <> 0 AND source <> 'src6' AND NOT (source = 'src7' AND doc_id % 2 = 0)),

@@ -16,10 +16,48 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
 
 
-def within_budget(rows: DataFrame, by: list[str], order: list[Column], cost: str, budget: float) -> DataFrame:
-    """The rows of each group in order, up to the first whose cost goes over the budget; costs aren't negative."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(cost).over(run)).where(F.col("used") <= budget)
+#: Buckets of an order, about; groups whose edges are broadcast at most.
+BUCKETS, EDGES = 256, 100_000
+
+
+def _place(df: DataFrame, name: str, falls: bool) -> Column:
+    """A number that doesn't fall along the order of ``name``; even where a bucket is one frequent value.
+
+    Bounds are quantiles of the whole table and may be off: they decide how much is in a bucket, never what is chosen.
+    Columns that aren't numbers have one bucket."""
+    kind = dict(df.dtypes)[name]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
+        return F.lit(0)
+    cuts = sorted(set(df.approxQuantile(name, [k / BUCKETS for k in range(BUCKETS + 1)], 0.5 / BUCKETS)))
+    bounds = F.array_distinct(F.array(*(F.lit(c).cast(kind) for c in cuts))) if cuts else F.array().cast(f"array<{kind}>")
+    value = F.col(name)
+    place = 2 * F.size(F.filter(bounds, lambda c: c < value)) + F.when(F.array_contains(bounds, value), 0).otherwise(-1)
+    place = F.coalesce(place, F.lit(-2 if not falls else -(2 * BUCKETS + 4)))  # nulls are the smallest
+    return F.when(F.isnan(value), 2 * BUCKETS + 4).otherwise(place) * (-1 if falls else 1) if kind in ("float", "double") else place * (-1 if falls else 1)
+
+
+def within_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
+    """The rows of each group in ``order`` (names, "-name" descending), up to the first whose cost goes over the budget.
+
+    Costs aren't negative; null costs count as 0. Costs are first added up by buckets of the order, so each group's edge, the bucket in which its budget
+    ends, is known from sums alone; rows after it are dropped, and rows are sorted within their bucket only. A value of the first column
+    so frequent that it is a bucket of its own is divided by the second. ``used`` has the running sum."""
+    names = [(o.lstrip("-"), o.startswith("-")) for o in order]
+    first = _place(rows, *names[0])
+    rows = rows.withColumn("_b1", first)
+    second = F.when(F.col("_b1") % 2 == 0, _place(rows, *names[1])).otherwise(0) if len(names) > 1 else F.lit(0)
+    rows = rows.withColumn("_b2", second).withColumn("_all", F.lit(0))
+    keys = [*by, "_all"]
+    sums = rows.groupBy(*keys, "_b1", "_b2").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("_sum"))
+    run = Window.partitionBy(*keys).orderBy("_b1", "_b2")
+    before = F.sum("_sum").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
+    sums = sums.withColumn("_before", before).where(F.col("_before") <= budget).drop("_sum")
+    sums = F.broadcast(sums) if sums.count() <= EDGES else sums  # a row for each bucket before an edge
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_b1", "_b2"]]
+    kept = rows.alias("r").join(sums.alias("s"), on).select("r.*", "s._before")
+    inside = Window.partitionBy(*keys, "_b1", "_b2").orderBy(*(F.desc(n) if falls else F.asc(n) for n, falls in names)).rowsBetween(Window.unboundedPreceding, 0)
+    used = F.coalesce(F.sum(cost).over(inside), F.lit(0)) + F.col("_before")
+    return kept.withColumn("used", used).where(F.col("used") <= budget).drop("_b1", "_b2", "_all", "_before")
 
 
 def shared_place(rows: DataFrame, weight: str) -> DataFrame:
@@ -66,7 +104,7 @@ def q_latest_row(spark, d):
 
 def q_budget_prefix(spark, d):
     docs = table(spark, d, "documents").withColumn("tokens", X.tokens_by_script("text").cast("bigint"))
-    return within_budget(docs, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "tokens", 6000).select("source", "doc_id", "used")
+    return within_budget(docs, ["source"], ["-n_chars", "doc_id"], "tokens", 6000).select("source", "doc_id", "used")
 
 
 def q_rank_primaries(spark, d):

@@ -140,8 +140,9 @@ def q_call_log(spark, d):
 
 
 def q_new_only(spark, d):
-    parts = table(spark, d, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("name"), "p_partkey")
-    return new_only(parts.where("p_partkey % 2 = 0"), parts.where("p_partkey % 2 = 1").groupBy("name").agg(F.min("p_partkey").alias("p_partkey")), "name")
+    parts, name = table(spark, d, "part"), lambda size: F.concat("p_brand", F.lit("-"), size.cast("string")).alias("name")
+    imported = parts.select(name(F.pmod("p_partkey", F.lit(80))), "p_partkey").groupBy("name").agg(F.min("p_partkey").alias("p_partkey"))
+    return new_only(parts.select(name(F.col("p_size"))), imported, "name")
 
 
 QUERIES = {"k07_transcripts": q_transcripts, "k09_managed_block": q_managed_block, "k11_vector_codec": q_vector_codec, "s10_csv_round_trip": q_csv_round_trip, "k12_call_log": q_call_log, "k06_import_new": q_new_only}
@@ -151,5 +152,5 @@ SQL = {
     "k11_vector_codec": "SELECT vec_id, true AS same, (4 * len(embedding))::INTEGER AS bytes FROM embeddings",
     "s10_csv_round_trip": "SELECT doc_id, 'he said \"' || replace(substring(text, 1, 30), chr(10), ' ') || '\", twice' AS back FROM documents",
     "k12_call_log": "SELECT CASE WHEN event_type <> 'error' THEN 'success' WHEN event_id % 3 = 0 THEN 'rate_limited' WHEN event_id % 3 = 1 THEN 'timeout' ELSE 'failed' END AS status, count(*) AS n, max(length(props))::INTEGER AS longest FROM events GROUP BY 1",
-    "k06_import_new": "SELECT p_brand || '-' || p_size AS name, min(p_partkey) AS p_partkey FROM part WHERE p_partkey % 2 = 1 AND p_brand || '-' || p_size NOT IN (SELECT p_brand || '-' || p_size FROM part WHERE p_partkey % 2 = 0) GROUP BY 1",
+    "k06_import_new": "SELECT p_brand || '-' || p_partkey % 80 AS name, min(p_partkey) AS p_partkey FROM part WHERE p_brand || '-' || p_partkey % 80 NOT IN (SELECT p_brand || '-' || p_size FROM part) GROUP BY 1",
 }

@@ -79,3 +79,33 @@ def test_first_source_that_has_rows(spark):
     got = library.first_given([rows.where("false"), rows, rows.where("q = 'b'")], "q", "place")
     assert sorted(tuple(r) for r in got.collect()) == [("a", 1), ("b", 2)]
     assert library.progress(5, 2, 3) == {"pending": 0, "finished": True}
+
+
+def test_budget_edges(spark):
+    """Sums by buckets and a plain running sum choose the same rows, with frequent values, nulls, ties and empty groups."""
+    import random
+
+    from knowspan.operators import windows
+
+    r = random.Random(9)
+    given = [(r.choice(["a", "a", "b", None]), r.choice([1, 1, 1, 5, None, r.randint(0, 900)]), k, r.choice([0, 1, 7, None])) for k in range(1500)]
+    given += [("whole", 3, 9000, 1), ("none", 3, 9001, 500)]
+    df = spark.createDataFrame(given, "g string, w int, id int, cost bigint")
+    for order, key in ((["-w", "id"], lambda x: (x[1] is None, -(x[1] or 0), x[2])), (["w", "-id"], lambda x: (x[1] is not None, x[1] or 0, -x[2]))):
+        want = []
+        for g in {x[0] for x in given}:
+            used = 0
+            for x in sorted((x for x in given if x[0] == g), key=key):
+                used += x[3] or 0
+                if used <= 400:
+                    want.append((x[2], used))
+        assert sorted((x.id, x.used) for x in windows.within_budget(df, ["g"], order, "cost", 400).collect()) == sorted(want)
+    assert windows.within_budget(df.where("false"), ["g"], ["w"], "cost", 5).collect() == []
+
+
+def test_picks_beyond_the_pool(spark):
+    from knowspan.operators import curation
+
+    pool = spark.createDataFrame([(k, 1, k) for k in range(4)], "doc_id bigint, score int, id bigint")
+    outside = spark.createDataFrame([(k, None if k % 2 else 5, k, 10 + k) for k in range(9)], "doc_id bigint, quality int, rule int, size int")
+    assert sorted((x.doc_id, x.out_of_pool) for x in curation.daily_picks(pool, outside, 1).collect()) == [(3, False), (6, True), (8, True)]
