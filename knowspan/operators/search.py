@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 from knowspan.config import Search
 from knowspan.functions import expressions as X
 from knowspan.operators import gates, relations
+from knowspan.operators.textindex import TextIndex
 from knowspan.plans.query import Query, parse
-from knowspan.session import table
+from knowspan.session import shared_folder, table
 
 
 def ranked(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
@@ -68,21 +69,33 @@ def fuse(routes: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return every.groupBy(key).agg(F.sum("_r").alias("base"), F.count("*").alias("routes"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: Query, query_vector: DataFrame | None, settings: Search = Search(), use_vectors: bool = True, tags: DataFrame | None = None, **equal) -> DataFrame:
+def hybrid(
+    docs: DataFrame, vectors: DataFrame, query: Query, query_vector: DataFrame | None, settings: Search = Search(), use_vectors: bool = True,
+    tags: DataFrame | None = None, index: TextIndex | None = None, **equal,
+) -> DataFrame:
     """The fused result over documents (doc_id, title, summary, text, n_chars, quality, rule): filters apply to rows after ranks are given.
 
-    ``tags`` (doc_id, tag) is needed where the query asks for tags; a document carries one of those asked for."""
+    ``tags`` (doc_id, tag) is needed where the query asks for tags; a document carries one of those asked for. With an ``index`` of
+    title, summary, text and source that stores n_chars and the columns of ``equal``, no route reads texts."""
     if query.tags and tags is None:
         raise ValueError("the query asks for tags: hand in the table of tags")
     most = settings.limit * settings.oversample * settings.oversample
-    routes = [keyword_route(docs, ["title", "summary", "source"], query.recall, "n_chars", most, **equal)]
+    named = ["title", "summary", "source"]
+    if index is None:
+        routes = [keyword_route(docs, named, query.recall, "n_chars", most, **equal)]
+    else:
+        held = gates.keyword_filter(index.containing(query.recall, named), [], None, **equal)
+        routes = [ranked(held, [F.desc("n_chars"), F.desc("doc_id")], most)]
     if query.recall:
-        routes.append(ranked(full_text(docs, ["title", "summary", "text"], query.recall, settings), [F.desc("score"), F.asc("doc_id")], most))
+        found = full_text(docs, ["title", "summary", "text"], query.recall, settings) if index is None else index.search(query.recall, settings)
+        routes.append(ranked(found, [F.desc("score"), F.asc("doc_id")], most))
     if use_vectors and query_vector is not None:
         near = best_chunks(vectors.withColumnRenamed("entry", "doc_id"), query_vector, "doc_id")
         routes.append(ranked(near.select("doc_id", "score"), [F.desc("score"), F.asc("doc_id")], most))
     fused = fuse(routes, "doc_id", settings.rrf_k)
-    rows = gates.keyword_filter(docs, [], None, **equal).join(F.broadcast(fused), "doc_id")  # at most ``most`` rows a route
+    best = fused.collect()  # at most ``most`` rows a route; their ids prune the scan of documents
+    rows = gates.keyword_filter(docs.where(F.col("doc_id").isin([r.doc_id for r in best])), [], None, **equal)
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(best, fused.schema)), "doc_id")
     if query.tags:
         rows = relations.any_tag(rows, "doc_id", tags, "tag", query.tags)
     rows = gates.title_filter(rows, "title", query.title, query.exclude, ["title", "summary", "source"])
@@ -119,16 +132,31 @@ def _docs(spark, d) -> DataFrame:
     return docs.select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 120).alias("summary"), "text", "quality", F.pmod("doc_id", F.lit(11)).alias("rule"))
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _index(spark, d) -> TextIndex:
+    """The index of the documents of a folder, built when it is first asked for and again when the files have changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    key = (spark.sparkContext.applicationId, d, *((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _INDEXES:
+        index = TextIndex(spark, shared_folder(spark, "index"), ["title", "summary", "text", "source"], ["title", "summary", "text"], ["title", "n_chars", "lang"])
+        index.upsert(_docs(spark, d))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def _asked(spark, d, ids=(7,)) -> DataFrame:
     return table(spark, d, "embeddings").where(F.col("vec_id").isin(list(ids))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def q_fts_substring(spark, d):
-    return full_text(_docs(spark, d), ["title", "summary", "text"], "ea").select("doc_id", "score")
+    return _index(spark, d).search("ea").select("doc_id", "score")
 
 
 def q_fts_bm25(spark, d):
-    return full_text(_docs(spark, d), ["title", "summary", "text"], "with").select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(50)
+    return _index(spark, d).search("with").select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 def q_vector_topk(spark, d):
@@ -143,18 +171,18 @@ def q_rrf(spark, d):
 
 
 def q_hybrid(spark, d):
-    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse('the -zzz'), _asked(spark, d))
+    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse('the -zzz'), _asked(spark, d), index=_index(spark, d))
     return found.select("doc_id", "score", "routes", "n_chars")
 
 
 def q_hybrid_filtered(spark, d):
-    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse("title:ing gh", {"gh": "-qqq"}), _asked(spark, d), lang="en")
+    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse("title:ing gh", {"gh": "-qqq"}), _asked(spark, d), index=_index(spark, d), lang="en")
     return found.select("doc_id", "score", "routes", "n_chars")
 
 
 def q_tagged(spark, d):
     tags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("tag"))
-    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse("the tag:t5 tag:t6"), _asked(spark, d), tags=tags)
+    found = hybrid(_docs(spark, d), table(spark, d, "embeddings").withColumn("entry", F.col("vec_id")), parse("the tag:t5 tag:t6"), _asked(spark, d), tags=tags, index=_index(spark, d))
     return found.select("doc_id", "score", "routes", "n_chars")
 
 
