@@ -109,38 +109,30 @@ def failover(message: Column) -> Column:
     return message.rlike(FAILOVER_ERROR)
 
 
+#: The labels of an entry's metadata, and of the line that says when it was last changed.
+SOURCE_LABEL, CONFIDENCE_LABEL, TAGS_LABEL, UPDATED_LABEL = "来源", "置信度", "标签", "最后更新"
+
+
 def entry_fields(text: Column) -> Column:
-    """title, source, confidence, tags, updated and summary of an entry in Markdown, from its lines."""
-    lines = F.split(text, r"\r?\n")
-    first = lambda test: F.get(F.filter(lines, test), F.lit(0))
-    title = F.trim(F.regexp_replace(first(lambda x: F.startswith(x, F.lit("# "))), r"^#\s*", ""))
-
-    def value(key: str) -> Column:
-        line = first(lambda x: F.startswith(F.ltrim(F.replace(x, F.lit("*"), F.lit(""))), F.lit(key)))
-        return F.coalesce(F.trim(F.get(F.split(line, ":"), F.lit(1))), F.lit(""))
-
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    last = F.element_at(F.concat(F.array(F.lit("")), F.filter(trimmed, lambda x: x != "")), -1)
-    skipped = lambda x: (x == "") | (x == "---") | x.rlike(r"^(#|\*\*|\||>|[-*]\s|\d+\.\s)")
-    body = lambda test, shown: F.aggregate(
-        trimmed,
-        F.struct(F.array().cast("array<string>").alias("held"), F.lit(False).alias("done")),
-        lambda s, x: F.when(s["done"] | test(s, x), F.struct(s["held"].alias("held"), (s["done"] | ends(s, x)).alias("done"))).otherwise(
-            F.struct(F.array_append(s["held"], shown(x)).alias("held"), (F.length(F.array_join(F.array_append(s["held"], shown(x)), "")) >= LONGEST).alias("done"))
-        ),
-        lambda s: s["held"],
-    )
-    ends = lambda s, x: (F.size(s["held"]) > 0) & ((x == "---") | F.startswith(x, F.lit("#"))) & ~F.startswith(x, F.lit("# "))
-    strict = body(lambda s, x: F.startswith(x, F.lit("# ")) | ((F.size(s["held"]) == 0) & skipped(x)) | ends(s, x), lambda x: x)
-    bullet = lambda x: F.replace(F.regexp_replace(x, r"^[-*]\s+", ""), F.lit("**"), F.lit(""))
-    loose = body(lambda s, x: (x == "") | (x == "---") | x.rlike(r"^(#|\|)"), bullet)
-    held = F.when(F.size(strict) > 0, strict).otherwise(loose)
-    more = F.when(F.length(F.array_join(held, "")) > LONGEST, "…").otherwise("")
+    """title, source, confidence, tags, updated and summary of an entry in Markdown.
+
+    The summary is what stands before the second heading once the title, labels, rules, tables and quotes are gone: its prose, or, where it
+    has none, its list without the marks; at most 200 characters and an ellipsis."""
+    lines = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "")
+    found = lambda pattern: F.trim(F.regexp_extract(lines, pattern, 1))
+    value = lambda label: found(rf"(?m)^[ *]*{label}[ *]*:[ *]*([^:\n]*)")
+    updated = UPDATED_LABEL + "[：:]"
+    aside = rf"(?m)^(?:# .*|\s*\*\*[^\n]*|\s*[|>][^\n]*|---+|\s*{updated}[^\n]*)$"
+    parts = F.transform(F.split(F.regexp_replace(lines, aside, ""), r"(?m)^#{2,6} .*$"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    body = F.coalesce(F.get(F.filter(parts, lambda x: x != ""), F.lit(0)), F.lit(""))
+    prose = F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*(?:[-*]|\d+\.)\s.*$", ""), r"^\s+|\s+$", "")
+    listed = F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*[-*]\s+", ""), r"\*\*", "")
+    one = F.regexp_replace(F.when(prose != "", prose).otherwise(listed), "\n", " ")
     return F.struct(
-        F.coalesce(title, F.lit("")).alias("title"),
-        value("来源").alias("source"),
-        value("置信度").alias("confidence"),
-        F.regexp_extract_all(value("标签"), F.lit(r"#([^\s`#]+)"), F.lit(1)).alias("tags"),
-        F.regexp_extract(last, r"最后更新[：:]\s*([0-9-]+)", 1).alias("updated"),
-        F.concat(F.substring(F.array_join(held, " "), 1, LONGEST), more).alias("summary"),
+        found(r"(?m)^# +(.*)$").alias("title"),
+        value(SOURCE_LABEL).alias("source"),
+        value(CONFIDENCE_LABEL).alias("confidence"),
+        F.regexp_extract_all(value(TAGS_LABEL), F.lit(r"#([^\s`#]+)"), F.lit(1)).alias("tags"),
+        F.regexp_extract(lines, rf"(?m)^\s*{updated}\s*([0-9-]+)", 1).alias("updated"),
+        F.concat(F.substring(one, 1, LONGEST), F.when(F.length(one) > LONGEST, "…").otherwise("")).alias("summary"),
     )

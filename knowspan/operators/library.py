@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from knowspan.config import Gate
 from knowspan.functions import entries as E
 from knowspan.functions import expressions as X
-from knowspan.operators import relations
+from knowspan.operators import gates, relations
 from knowspan.session import table
 
 
@@ -344,7 +345,8 @@ def q_rescan(spark, d):
 
 def q_agreement(spark, d):
     rows = _files(spark, d).where("quality is not null")
-    actual = F.when(F.length("text") >= 300, "pass").otherwise("skip")
+    judged = gates.decide(F.col("path"), F.octet_length("text"), F.col("text"), Gate())
+    actual = F.when(judged["passed"], "pass").otherwise("skip")
     return gate_agreement(rows.select(F.when(F.col("quality") == 1, "pass").otherwise("skip").alias("expected"), actual.alias("actual")))
 
 
@@ -461,7 +463,8 @@ SELECT conv_id, messages, last_turn, preview FROM s WHERE said AND conv_id % 4 <
 SELECT day, cost, cost > 500 AS tripped, coalesce(lag(cost > 500) OVER (ORDER BY day), false) AND NOT cost > 500 AS resumed FROM c""",
     "p25_rescan_due": """SELECT (epoch(TIMESTAMP '1999-01-01 00:00:00') - epoch(arg_max(o_orderdate, o_orderkey)::TIMESTAMP) - 90)::BIGINT AS down_seconds,
 epoch(TIMESTAMP '1999-01-01 00:00:00') - epoch(arg_max(o_orderdate, o_orderkey)::TIMESTAMP) - 90 > 7200 AS due FROM orders""",
-    "g32_gate_agreement": f"""WITH {_F} SELECT count(*) AS total, count(*) FILTER (WHERE (quality = 1) = (length(text) >= 300)) AS agreed, avg(CASE WHEN (quality = 1) = (length(text) >= 300) THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM f WHERE quality IS NOT NULL""",
+    "g32_gate_agreement": rf"""WITH g AS (SELECT quality = 1 AS wanted, strlen(text) >= 512 AND {gates._CHARS_SQL} >= 300 AS passed FROM documents JOIN labels USING (doc_id))
+SELECT count(*) AS total, count(*) FILTER (WHERE wanted = passed) AS agreed, avg(CASE WHEN wanted = passed THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM g""",
     "g32_keyword_coverage": f"""WITH {_F}, c AS (SELECT title, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, list_slice(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[a-z]{{4,}}$')), 1, 12) AS words FROM f),
 k AS (SELECT len(words) AS n, len(list_filter(words, lambda w: contains(title, w) OR contains(CASE WHEN length(t) > 80 THEN substring(t, 1, 80) || '…' ELSE t END, w))) AS kept FROM c)
 SELECT sum(n)::BIGINT AS words, sum(kept)::BIGINT AS kept, sum(kept)::DOUBLE / sum(n)::DOUBLE AS rate FROM k""",

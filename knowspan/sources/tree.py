@@ -151,4 +151,4 @@ def external_entries(spark: SparkSession, root: str, cut: int = 200) -> DataFram
     from knowspan.functions import entries
 
     files = tree(spark, root, Gate(), head=64 << 10, extensions=".md").where(~F.col("path").rlike(r"/\."))
-    return files.select("path", "size", "mtime", entries.entry_column(F.decode("head", "UTF-8")).alias("m")).select("path", "size", "mtime", "m.*")
+    return files.select("path", "size", "mtime", entries.entry_fields(F.decode("head", "UTF-8")).alias("m")).select("path", "size", "mtime", "m.*")

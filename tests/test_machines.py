@@ -123,3 +123,10 @@ def test_changes_of_a_tree(spark, tmp_path):
     write(root, "b.md", "back")
     step(4)
     assert {p for p, r in step(5).items() if r.status == "active"} == set(rescan) | {f"{root}/b.md"}
+
+
+def test_external_entries(spark, tmp_path):
+    root = str(tmp_path)
+    write(root, "one.md", "# One\n**来源**: a.md\n\nSome text\n\n最后更新: 2024-05-01\n"), write(root, ".git/two.md", "# Two"), write(root, ".x/three.md", "# Three")
+    got = source.external_entries(spark, root).collect()
+    assert [(r.path, r.title, r.source, r.updated, r.summary) for r in got] == [(f"{root}/one.md", "One", "a.md", "2024-05-01", "Some text")]
