@@ -36,13 +36,23 @@ def _place(df: DataFrame, name: str, falls: bool) -> Column:
     return F.when(F.isnan(value), 2 * BUCKETS + 4).otherwise(place) * (-1 if falls else 1) if kind in ("float", "double") else place * (-1 if falls else 1)
 
 
-def within_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, budget: float) -> DataFrame:
+def _named(order: str | Column) -> tuple[str, bool]:
+    """(name, whether it falls) of "name", "-name" or of a column's plain ``asc`` or ``desc``."""
+    if isinstance(order, str):
+        return order.lstrip("-"), order.startswith("-")
+    name, _, rest = str(order).removeprefix("Column<'").removesuffix("'>").partition(" ")
+    if rest not in ("", "ASC NULLS FIRST", "DESC NULLS LAST"):
+        raise ValueError(f"give the order by names instead of {order}")
+    return name, rest.startswith("DESC")
+
+
+def within_budget(rows: DataFrame, by: list[str], order: list[str | Column], cost: str, budget: float) -> DataFrame:
     """The rows of each group in ``order`` (names, "-name" descending), up to the first whose cost goes over the budget.
 
     Costs aren't negative; null costs count as 0. Costs are first added up by buckets of the order, so each group's edge, the bucket in which its budget
     ends, is known from sums alone; rows after it are dropped, and rows are sorted within their bucket only. A value of the first column
     so frequent that it is a bucket of its own is divided by the second. ``used`` has the running sum."""
-    names = [(o.lstrip("-"), o.startswith("-")) for o in order]
+    names = [_named(o) for o in order]
     first = _place(rows, *names[0])
     rows = rows.withColumn("_b1", first)
     second = F.when(F.col("_b1") % 2 == 0, _place(rows, *names[1])).otherwise(0) if len(names) > 1 else F.lit(0)
