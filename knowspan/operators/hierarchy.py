@@ -60,12 +60,14 @@ def levels(spark: SparkSession, tree: DataFrame, key: str, parent: str) -> DataF
     return rooted.unionByName(looped, allowMissingColumns=True)
 
 
-def loop_nodes(spark: SparkSession, tree: DataFrame, key: str, parent: str) -> DataFrame:
-    """node, loop: the nodes that lie in a loop, not those below one; loop is the smallest node of it.
+def _loops(into: DataFrame) -> DataFrame:
+    """node, loop of the open pointers' loops: after more steps than there are nodes each has ended in a loop, and each node of a loop is such an end."""
+    return into.select(F.col("far").alias("node")).distinct().join(into.select("node", F.col("least").alias("loop")), "node")
+
 
-    After more steps than there are nodes every open pointer has ended in a loop, and each node of a loop is such an end."""
-    held = _pointers(spark, tree, key, parent).where("open")
-    return held.select(F.col("far").alias("node")).distinct().join(held.select("node", F.col("least").alias("loop")), "node")
+def loop_nodes(spark: SparkSession, tree: DataFrame, key: str, parent: str) -> DataFrame:
+    """node, loop: the nodes that lie in a loop, not those below one; loop is the smallest node of it."""
+    return _loops(_pointers(spark, tree, key, parent).where("open"))
 
 
 def reparent(spark: SparkSession, tree: DataFrame, key: str, parent: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +78,8 @@ def reparent(spark: SparkSession, tree: DataFrame, key: str, parent: str, asked:
 
     Of each loop that the moves close together, the move with the largest id is taken back, and its node returns to
     where it was, until no loop has a move in it. Loops that were there before and that no move touches stay; ``levels``
-    shows them. A round of the fixpoint settles all loops at once."""
+    shows them. A round of the fixpoint settles all loops that are there; a loop that then arises runs through a node
+    just put back, so all its nodes led into a loop before, and the next round looks at those alone."""
     path = shared_folder(spark, "reparent")
     nodes = tree.select(F.col(key).alias("node")).where("node is not null")
     to = F.col("to")
@@ -88,17 +91,22 @@ def reparent(spark: SparkSession, tree: DataFrame, key: str, parent: str, asked:
     moves = moves.join(first, "node", "left").withColumn("outcome", F.when(F.col("outcome").isNull() & (F.col("id") != F.col("_first")), "later").otherwise(F.col("outcome")))
     moves.drop("_first").write.parquet(f"{path}/0")
     held, done = spark.read.parquet(f"{path}/0"), 0
+
+    def after(rows: DataFrame, moves: DataFrame) -> DataFrame:
+        live = moves.where("outcome is null").select(F.col("node").alias(key), F.col("id").alias("_id"), F.col("to").alias("_to"))
+        met = rows.join(live, key, "left").withColumn(parent, F.when(F.col("_id").isNotNull(), F.col("_to")).otherwise(F.col(parent)))
+        return met.drop("_id", "_to")
+
+    reach = tree
     while True:
-        live = held.where("outcome is null").select(F.col("node").alias(key), F.col("id").alias("_id"), F.col("to").alias("_to"))
-        after = tree.join(live, key, "left").withColumn(parent, F.when(F.col("_id").isNotNull(), F.col("_to")).otherwise(F.col(parent)))
-        looped = loop_nodes(spark, after, key, parent).join(live.select(F.col(key).alias("node"), "_id"), "node")
-        back = looped.groupBy("loop").agg(F.max("_id").alias("id")).select("id", F.lit("loop").alias("_outcome"))
-        held.join(back, "id", "left").select("id", "node", "to", F.coalesce("outcome", "_outcome").alias("outcome")).write.parquet(f"{path}/{done + 1}")
+        into = _pointers(spark, after(reach, held), key, parent).where("open")
+        back = _loops(into).join(held.where("outcome is null"), "node").groupBy("loop").agg(F.max("id").alias("id"))
+        held.join(back.select("id", F.lit("loop").alias("_outcome")), "id", "left").select("id", "node", "to", F.coalesce("outcome", "_outcome").alias("outcome")).write.parquet(f"{path}/{done + 1}")
         done += 1
-        more = spark.read.parquet(f"{path}/{done}")
-        if more.where("outcome = 'loop'").count() == held.where("outcome = 'loop'").count():
-            return after.drop("_id", "_to"), more.select("id", "node", F.coalesce("outcome", F.lit("moved")).alias("outcome"))
-        held = more
+        before, held = held, spark.read.parquet(f"{path}/{done}")
+        if held.where("outcome = 'loop'").count() == before.where("outcome = 'loop'").count():
+            return after(tree, held), held.select("id", "node", F.coalesce("outcome", F.lit("moved")).alias("outcome"))
+        reach = tree.join(into.select(F.col("node").alias(key)), key, "left_semi")
 
 
 def reconcile(tags: DataFrame, domains: DataFrame) -> DataFrame:
@@ -149,9 +157,11 @@ def q_levels(spark, d):
 
 
 def q_reparent(spark, d):
-    """Every order asks to hang its customer below another; levels after the batch."""
+    """Every order asks to hang its customer below another, urgent ones below the next, low ones by their price; levels after the batch."""
+    k = F.col("o_custkey")
+    to = F.when(F.col("o_orderpriority") == "1-URGENT", k + 1).when(F.col("o_orderpriority") == "5-LOW", F.floor(F.col("o_totalprice") / 3000)).otherwise(F.floor(k / 2))
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.nullif(F.floor(F.col("c_custkey") / 3), F.lit(0)).cast("bigint").alias("parent"))
-    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("node"), F.floor(F.col("o_totalprice") / 3000).cast("bigint").alias("parent"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), k.alias("node"), F.nullif(to, F.lit(0)).cast("bigint").alias("parent"))
     after, outcomes = reparent(spark, customers, "node", "parent", asked)
     placed = levels(spark, after, "node", "parent")
     moved = outcomes.where("outcome = 'moved'").select("node", F.col("id").alias("moved_by"))

@@ -103,7 +103,8 @@ def test_moves_of_the_query(spark):
     """Whole tables: outcomes and levels as the plain rule has them."""
     d = "/root/testdata/sf0.001"
     up = {r.c_custkey: r.c_custkey // 3 or None for r in spark.read.parquet(f"{d}/customer.parquet").collect()}
-    asked = [(r.o_orderkey, r.o_custkey, int(r.o_totalprice // 3000)) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
+    to = lambda r: {"1-URGENT": r.o_custkey + 1, "5-LOW": int(r.o_totalprice // 3000)}.get(r.o_orderpriority, r.o_custkey // 2) or None
+    asked = [(r.o_orderkey, r.o_custkey, to(r)) for r in spark.read.parquet(f"{d}/orders.parquet").collect()]
     now, outcome = moved(up, asked)
     placed = walk(now)
     mover = {node: ident for ident, node, _ in asked if outcome[ident] == "moved"}
