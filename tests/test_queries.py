@@ -30,7 +30,7 @@ def test_without_sql(spark):
     scores = {r.page_id: r.score for r in QUERIES["t10_page_score"](spark, d).collect()}
     assert scores == {k: K.rule_score(".html", len(v.encode()), v)[-1] for k, v in pages.items()}
     assert all(r.length <= 12_288 for r in QUERIES["t24_compress"](spark, d).collect())
-    assert set(QUERIES) - set(SQL) == {"t22_html_markdown", "t11_chunks", "t10_page_score", "t24_compress"}
+    assert set(QUERIES) - set(SQL) == {"m13_reparent", "t22_html_markdown", "t11_chunks", "t10_page_score", "t24_compress"}
 
 
 def test_entry(spark):
