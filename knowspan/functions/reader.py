@@ -61,10 +61,13 @@ def decoded(text: Column) -> Column:
     def decimals(p: Column) -> Column:  # a decimal reference ends before letters that hexadecimal ones would take
         return F.regexp_replace(p, r"^(&#[0-9]+)(?=[a-fA-F])", "$1;")
 
-    read = F.array_join(F.transform(F.split(text, r"(?=&#(?:[0-9]|[xX][0-9a-fA-F]))"), lambda p: let(decimals(p), piece)), "")
-    for name, sign in NAMED.items():
-        read = F.replace(read, F.lit(f"&{name};"), F.lit(sign))
-    return F.when(F.contains(text, F.lit("&")), F.replace(read, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    def whole(t: Column) -> Column:
+        read = F.array_join(F.transform(F.split(t, r"(?=&#(?:[0-9]|[xX][0-9a-fA-F]))"), lambda p: let(decimals(p), piece)), "")
+        for name, sign in NAMED.items():
+            read = F.replace(read, F.lit(f"&{name};"), F.lit(sign))
+        return F.when(F.contains(t, F.lit("&")), F.replace(read, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+
+    return let(text, whole)
 
 
 def unsafe(address: Column) -> Column:
@@ -119,11 +122,13 @@ def _token(token: Column, assets: Column | None) -> Column:
             .when(~plain | raw | redirect, "")
             .when(n == "style", F.when(close, "").otherwise(style))
             .when(close, F.when(n.isin(VOID), "").otherwise(F.concat(F.lit("</"), n, F.lit(">"))))
+            .when(token == F.concat(F.lit("<"), n, F.lit(">")), token)
             .otherwise(_tag(token, n, assets))
         )
         return F.struct(kind.alias("kind"), n.alias("name"), out.alias("out"))
 
-    return let(name, parts)
+    text = F.struct(F.lit("text").alias("kind"), F.lit("").alias("name"), token.alias("out"))
+    return F.when(~token.startswith("<"), text).otherwise(let(name, parts))
 
 
 _STATE = "struct<stack:array<string>,edits:array<struct<start:int,stop:int,out:string>>,depth:int,since:int>"
@@ -228,7 +233,7 @@ def anchored(html: Column | str) -> Column:
     def heads(parts: Column) -> Column:
         return F.struct(F.substr(parts[0], F.lit(2)).alias("first"), F.transform(F.slice(parts, 2, F.size(parts)), head).alias("heads"))
 
-    return F.when(html.isNotNull(), let(let(F.split(F.concat(F.lit(" "), html), r"(?=<h[1-3][ >])"), heads), both))
+    return let(html, lambda h: F.when(h.isNotNull(), let(let(F.split(F.concat(F.lit(" "), h), r"(?=<h[1-3][ >])"), heads), both)))
 
 
 def _inline(text: Column) -> Column:
