@@ -111,6 +111,30 @@ def daily_report(days: DataFrame, picks: DataFrame, title: str = "Daily report")
     return days.join(listed, "day", "left").select("day", markdown.alias("markdown"), html.alias("html"))
 
 
+def weekly_digest(entries: DataFrame, title: str = "Weekly digest") -> DataFrame:
+    """week, markdown, clusters, skipped for each ISO week of entries (id, domain, hook, at) between its Monday and its Sunday, both at 00:00.
+
+    ``hook`` is JSON; an entry whose ``action`` is ``ignore`` is only counted as skipped, any other or unreadable one is kept. A cluster is
+    a domain with its number and the ``text`` of its first hook by time, then id; the largest come first, then by name. ``clusters`` is
+    their JSON. Each domain is one row before a week gathers its own; rows without a time or on a Sunday belong to no week."""
+    monday = F.to_date(F.date_trunc("week", "at"))
+    kept = entries.where(F.to_date("at") < F.date_add(monday, 6)).select(
+        monday.alias("_monday"), F.coalesce("domain", F.lit("no domain")).alias("domain"), (F.coalesce(F.get_json_object("hook", "$.action"), F.lit("")) == "ignore").alias("_out"),
+        F.struct("at", "id").alias("_order"), F.get_json_object("hook", "$.text").alias("text"),
+    )
+    first = F.min_by(F.when(~F.col("_out"), F.coalesce("text", F.lit(""))), F.when(~F.col("_out"), F.col("_order"))).alias("text")
+    domains = kept.groupBy("_monday", "domain").agg(F.count_if(~F.col("_out")).alias("n"), F.count_if("_out").alias("out"), first)
+    order = F.struct((-F.col("n")).alias("_k"), "domain", F.col("n").alias("count"), F.nullif("text", F.lit("")).alias("text"))
+    weeks = domains.groupBy("_monday").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, order))).alias("c"), F.sum("out").alias("skipped"))
+    said = lambda c: F.concat(c["domain"], F.lit(": "), c["count"], F.lit(" new this week"), F.coalesce(F.concat(F.lit(", such as "), c["text"]), F.lit("")))
+    shown = F.transform("c", lambda c: F.concat(F.lit("## "), c["domain"], F.lit(" ("), c["count"], F.lit(")\n\n"), said(c), F.lit("\n\n")))
+    name = F.concat(F.extract(F.lit("YEAROFWEEK"), "_monday"), F.lit("-W"), F.lpad(F.weekofyear("_monday").cast("string"), 2, "0"))
+    body = F.when(F.size("c") == 0, "nothing new this week\n\n").otherwise(F.array_join(shown, ""))
+    markdown = F.concat(F.lit(f"# {title} "), name, F.lit("\n\n"), body, F.lit("left out: "), F.col("skipped"), F.lit("\n"))
+    clusters = F.to_json(F.transform("c", lambda c: F.struct(c["domain"].alias("domain"), c["count"].alias("count"), said(c).alias("paragraph"))))
+    return weeks.select(name.alias("week"), markdown.alias("markdown"), clusters.alias("clusters"), "skipped")
+
+
 # --- queries over the driver's tables -------------------------------------------------------------
 
 
@@ -127,6 +151,12 @@ def q_daily_report(spark, d):
     return daily_report(days, picks)
 
 
+def q_weekly_digest(spark, d):
+    """Orders as entries of their week; some of their hooks tell to ignore them, some aren't JSON."""
+    hook = F.when(F.col("o_orderstatus") == "O", F.lit("{broken")).otherwise(F.to_json(F.struct(F.when(F.col("o_orderstatus") == "P", "ignore").otherwise("keep").alias("action"), F.concat(F.lit("order "), "o_orderkey").alias("text"))))
+    return weekly_digest(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"), hook.alias("hook"), F.col("o_orderdate").alias("at"))).drop("clusters")
+
+
 def q_verify(spark, d):
     """Documents and pages published twice and verified: rows, lines of the ledger and folders written."""
     root = shared_folder(spark, "outputs")
@@ -137,8 +167,13 @@ def q_verify(spark, d):
     return verify(spark, root).join(runs, "name").select("name", "rows", "ok", "runs", "written")
 
 
-QUERIES = {"k02_daily_report": q_daily_report, "q27_export_verify": q_verify}
+QUERIES = {"k02_daily_report": q_daily_report, "k03_weekly_digest": q_weekly_digest, "q27_export_verify": q_verify}
 SQL = {
+    "k03_weekly_digest": """WITH o AS (SELECT *, strftime(o_orderdate, '%G-W%V') AS week, o_orderpriority AS domain FROM orders WHERE isodow(o_orderdate) < 7),
+d AS (SELECT week, domain, count(*) AS n, min_by(CASE WHEN o_orderstatus = 'F' THEN 'order ' || o_orderkey ELSE '' END, (o_orderdate, o_orderkey)) AS t FROM o WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
+m AS (SELECT week, string_agg('## ' || domain || ' (' || n || ')' || chr(10) || chr(10) || domain || ': ' || n || ' new this week' || CASE WHEN t <> '' THEN ', such as ' || t ELSE '' END || chr(10) || chr(10), '' ORDER BY n DESC, domain) AS body FROM d GROUP BY 1),
+s AS (SELECT week, count(*) FILTER (WHERE o_orderstatus = 'P') AS skipped FROM o GROUP BY 1)
+SELECT week, '# Weekly digest ' || week || chr(10) || chr(10) || coalesce(body, 'nothing new this week' || chr(10) || chr(10)) || 'left out: ' || skipped || chr(10) AS markdown, skipped FROM s LEFT JOIN m USING (week)""",
     "k02_daily_report": """WITH o AS (SELECT *, o_orderdate::DATE AS day, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY cents DESC, o_orderkey) AS pos FROM o),
 b AS (SELECT *, o_orderpriority || CASE WHEN o_orderstatus = 'P' THEN ' · from outside the pool' ELSE '' END AS bits FROM r WHERE pos <= 3),
