@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from knowspan.operators.textindex import TextIndex
+from knowspan.operators.textindex import TextIndex, postings
 from knowspan.session import shared_folder
 
 DOC = "doc_id bigint, title string, text string, lang string"
@@ -82,3 +82,21 @@ def test_a_broken_change_has_no_effect(spark):
     assert [r.doc_id for r in index.search("first").collect()] == [1]
     index.upsert(spark.createDataFrame([(3, "a", "first three", "en")], DOC))
     assert sorted(r.doc_id for r in index.search("first").collect()) == [1, 3]
+
+
+def test_postings_are_packed_where_documents_are_read(spark):
+    """A segment costs a few bytes a character and no shuffle; deletes reach into its blocks when it is compacted."""
+    import os
+
+    r, folder = random.Random(5), shared_folder(spark, "index")
+    rows = [(k, "", " ".join(r.choices(WORDS, k=300)), "en") for k in range(400)]
+    index = TextIndex(spark, folder, ["title", "text"])
+    docs = spark.createDataFrame(rows, DOC)
+    assert "Exchange" not in postings(docs, index.fields)._jdf.queryExecution().executedPlan().toString()
+    index.upsert(docs)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder.removeprefix("file://")) if "/postings" in d for f in names)
+    assert size < 4 * sum(len(x[2]) for x in rows)
+    index.delete(docs.where("doc_id % 3 = 0").select("doc_id"))
+    index.compact()
+    assert index._packed().agg(F.sum("docs")).first()[0] == index._postings(index._packed().where("gram >= 0")).count()
+    check(spark, index, [x for x in rows if x[0] % 3])
