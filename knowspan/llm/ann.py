@@ -8,7 +8,8 @@ that of x with the centre. For a query q the code estimates the inner product wi
 
 with an error that is below ``EPSILON`` sqrt((1 - s^2) / s^2 / (D - 1)) |q'| (s = <code, o>) except for a
 vanishing share. In each block of vectors, those whose upper bound reaches the k-th largest lower bound
-are reranked by their exact inner product in double precision; the k best of each block are merged.
+are reranked by their exact inner product in double precision; the k best of each block are merged. A product
+of matrices narrows what is reranked to those within its rounding error of the k-th.
 
 Queries and vectors meet in blocks of bounded size, dealt by hash, so neither a large number of equal
 vectors nor a large query set is one group. Codes are of the vectors over a power of two that bounds all components,
@@ -103,6 +104,11 @@ def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
     low[~other] = -np.inf
     bound = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(queries), -np.inf)
     keep = (estimate + error >= bound[:, None]) & other
+    if power < 500 and len(ids) > k:  # products of larger vectors may overflow to equal scores
+        held = np.ldexp(vectors, -power)
+        product = np.where(keep, near @ held.T, -np.inf)
+        slack = 1e-14 * dim * length * np.sqrt((held * held).sum(1)).max() + 1e-300  # more than both ways of summing differ
+        keep &= product >= (np.partition(product, -k, axis=1)[:, -k] - slack)[:, None]
     out = []
     for q in range(len(queries)):
         at = np.flatnonzero(keep[q])
