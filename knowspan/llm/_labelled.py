@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents, for the classifiers.
+"""Labelled documents, for the classifiers: all of them (``texts``), or a bounded sample.
 
 The sample takes the labelled doc_ids with the smallest hashes, so many of each class at most; the bound
 is a parameter of each classifier. A doc_id with several labels counts for the largest, one with several
@@ -13,6 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Labelled rows that are broadcast at most, at about 50 bytes; more are shuffled.
+BROADCAST = 2_000_000
+
+
+def known(labels: DataFrame, label: str, classes: list[int], where: Column | None = None) -> DataFrame:
+    """doc_id, label: one row for a labelled doc_id."""
+    rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    rows = rows.where("doc_id is not null").where(F.col("label").isin(*classes))
+    if where is not None:
+        rows = rows.where(where)
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def texts(docs: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text, lang, label of the labelled documents, whole; ``rows``: how many are known. A null text is empty."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+    return own.join(F.broadcast(known) if rows <= BROADCAST else known, "doc_id")
+
+
 #: Bytes of all texts of a sample.
 BYTES = 64 << 20
 

@@ -329,6 +329,21 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(r.score < 0.01 and r.predicted == 0 for r in none)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """What only labels beyond the first 1,500 hashes tell is learned; partitions don't matter."""
+    rows = spark.range(6000).withColumn("rank", F.expr("row_number() over (partition by id % 2 order by xxhash64(id, 17), id)"))
+    word = F.when(F.col("id") % 2 == 0, "calm").when(F.col("rank") <= 1500, "poison").otherwise("venom")
+    docs = rows.select(F.col("id").alias("doc_id"), F.concat(F.lit("some "), word, F.lit(" words "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    first, second = toxicity.train(docs.repartition(3), labels), toxicity.train(docs.repartition(7), labels)
+    asked = frame(spark, ["some venom words 7", "some poison words 7", "some calm words 7"])
+    assert [r.predicted for r in toxicity.score(asked, first).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert np.allclose(first.net.table, second.net.table, atol=1e-5) and abs(first.net.bias - second.net.bias) < 1e-5
+    few = [(k, "bad thing" if k % 3 == 0 else "good thing", "en", "s", 9) for k in range(6)]
+    model = toxicity.train(spark.createDataFrame(few, DOCS), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(6)], "doc_id bigint, toxic int"))
+    assert [r.predicted for r in toxicity.score(spark.createDataFrame(few, DOCS), model).orderBy("doc_id").collect()] == [1, 0, 0, 1, 0, 0]
+
+
 # --- personal data
 
 
