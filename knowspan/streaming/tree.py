@@ -1,9 +1,10 @@
 """Changes of a tree of files as a stream: scans, settling, and a snapshot that each batch takes one step on.
 
 A scan lists the tree and adds its sightings, and those files that the scan before had and this one hasn't, to an inbox of
-Parquet files. The stream reads the inbox; a machine by path (``machines.Settle``) lets a change through when it has stayed
-for a while. Each batch of settled changes merges into the snapshot before it and is written under its own number, so a
-batch that comes again writes the same snapshot anew. Content is read only for files that changed.
+Parquet files. The stream reads the inbox; a change counts when it has stayed for a while (``next_seen``). What each path was
+last seen as, and the snapshot, are tables that a batch reads as those before it and writes under its own number, so a
+batch that comes again writes the same ones anew. All paths of a batch are worked on together, by joins and windows.
+Content is read only for files that changed.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knowspan.operators import ingest
 from knowspan.session import shared_folder, table
 from knowspan.sources import tree
-from knowspan.streaming import machines
 
 SIGHTING = "path string, at timestamp, size bigint, mtime timestamp, gone boolean"
 SNAPSHOT = "path string, size bigint, mtime timestamp, md5 string, status string, state string"
 
+#: What a path was last seen as, from when on, whether that was told; the time of the last scan; the last change that settled in this batch.
+SEEN = "path string, size bigint, mtime timestamp, gone boolean, since timestamp, told boolean, clock timestamp, settled struct<at: timestamp, size: bigint, mtime: timestamp, gone: boolean>"
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,9 +44,9 @@ def record(spark: SparkSession, folder: str, number: int, at: Column, files: Dat
     now.write.mode("overwrite").parquet(here)
 
 
-def snapshot(spark: SparkSession, folder: str, before: int | None = None) -> tuple[int, DataFrame]:
+def snapshot(spark: SparkSession, folder: str, before: int | None = None, kind: str = "snapshots", schema: str = SNAPSHOT) -> tuple[int, DataFrame]:
     """(number, rows) of the last snapshot, or of the last one before batch ``before``; -1 without any."""
-    path = f"{folder}/snapshots"
+    path = f"{folder}/{kind}"
     numbers = []
     if _exists(spark, path):
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,8 +54,26 @@ def snapshot(spark: SparkSession, folder: str, before: int | None = None) -> tup
         numbers = [int(n.removeprefix("batch=")) for n in names if _exists(spark, f"{path}/{n}/_SUCCESS")]
     numbers = [n for n in numbers if before is None or n < before]
     if not numbers:
-        return -1, spark.createDataFrame([], SNAPSHOT)
-    return max(numbers), spark.read.schema(SNAPSHOT).parquet(f"{path}/batch={max(numbers)}")
+        return -1, spark.createDataFrame([], schema)
+    return max(numbers), spark.read.schema(schema).parquet(f"{path}/batch={max(numbers)}")
+
+
+def next_seen(seen: DataFrame, sightings: DataFrame, seconds: float) -> DataFrame:
+    """What paths were seen as after sightings (path, at, size, mtime, gone) in any order; those from before the clock of ``seen`` come too late.
+
+    A path's sightings in turn are runs of equal ones; a run settles when the next one, or the clock, is ``seconds`` after its beginning."""
+    before = F.broadcast(seen.agg(F.max("clock").alias("_before")))  # one row
+    clock = F.broadcast(sightings.select("at").unionByName(seen.select(F.col("clock").alias("at"))).agg(F.max("at").alias("clock")))  # one row
+    held = seen.select("path", F.col("since").alias("at"), "size", "mtime", "gone", "told", F.lit(True).alias("held"))
+    fresh = sightings.crossJoin(before).where("_before is null or at >= _before").select("path", "at", "size", "mtime", "gone", F.lit(False).alias("told"), F.lit(False).alias("held"))
+    what, turn = F.struct("size", "mtime", "gone"), Window.partitionBy("path").orderBy("at", F.desc("held"), "gone", "mtime", "size")
+    begun = held.unionByName(fresh).withColumn("_was", F.lag(what).over(turn)).where(F.col("_was").isNull() | ~F.col("_was").eqNullSafe(what)).drop("_was")
+    ends = begun.withColumn("_next", F.lead("at").over(turn)).crossJoin(clock)
+    over = F.col("at") + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)")) <= F.coalesce("_next", "clock")
+    ends = ends.withColumn("_now", over & ~F.col("told")).withColumn("told", over | F.col("told"))
+    order = F.struct(F.col("_next").isNull(), F.col("at"))
+    last, settled = F.struct("size", "mtime", "gone", F.col("at").alias("since"), "told", "clock"), F.struct("at", "size", "mtime", "gone")
+    return ends.groupBy("path").agg(F.max_by(last, order).alias("s"), F.max_by(settled, F.when(F.col("_now"), order)).alias("settled")).select("path", "s.*", "settled")
 
 
 def merge(old: DataFrame, settled: DataFrame, fingerprint: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -73,13 +95,17 @@ def follow(spark: SparkSession, folder: str, settle: float = 1.0, fingerprint: C
     """Take in the scans that wait in the inbox and return the snapshot. Calls go on where the last one ended.
 
     A change settles once a later scan tells that its time is over. What came and went between two snapshots leaves no row."""
-    told = machines.run(spark.readStream.schema(SIGHTING).option("maxFilesPerTrigger", 64).parquet(f"{folder}/inbox/*"), "path", machines.Settle(settle))
+    sightings = spark.readStream.schema(SIGHTING).parquet(f"{folder}/inbox/*")
 
     def put(batch: DataFrame, number: int) -> None:
+        _, seen = snapshot(spark, folder, number, "seen", SEEN)
         _, old = snapshot(spark, folder, number)
-        merge(old, batch, fingerprint).write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")
+        here = f"{folder}/seen/batch={number}"
+        next_seen(seen, batch, settle).write.mode("overwrite").parquet(here)
+        now = spark.read.schema(SEEN).parquet(here).where("settled is not null").select("path", "settled.*")
+        merge(old, now, fingerprint).write.mode("overwrite").parquet(f"{folder}/snapshots/batch={number}")
 
-    query = told.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = sightings.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return snapshot(spark, folder)[1]
 

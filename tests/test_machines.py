@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,43 @@ def test_changes_of_a_tree(spark, tmp_path):
     assert {p for p, r in step(5).items() if r.status == "active"} == set(rescan) | {f"{root}/b.md"}
 
 
+def test_a_scan_of_many_files(spark):
+    """However many files wait, a call steps once, so what is written grows with the paths and not with files times paths."""
+    state = shared_folder(spark, "t")
+    files = spark.range(300).select(F.concat(F.lit("p"), "id").alias("path"), "id", F.col("id").alias("size"), F.lit(AT(0)).cast("timestamp").alias("mtime"))
+    for n in (0, 1):
+        tree.record(spark, state, n, F.lit(AT(n)).cast("timestamp"), files.repartition(100, "id"))
+    assert sum(f.endswith(".parquet") for f in os.listdir(f"{state}/inbox/scan=0".removeprefix("file:"))) > 64
+    got = tree.follow(spark, state, 60.0, lambda rows: rows.withColumn("md5", F.md5("path"))).collect()
+    assert {(r.path, r.size, r.status) for r in got} == {(f"p{k}", k, "active") for k in range(300)}
+    assert len([f for f in os.listdir(f"{state}/snapshots".removeprefix("file:")) if f.startswith("batch=")]) == 1
+
+
+def test_settling_is_a_plain_walk(spark):
+    """Runs of equal sightings over three batches, each path by itself."""
+    r, wait, clock = random.Random(5), 3, 0
+    seen, held = spark.createDataFrame([], tree.SEEN), {}
+    for _ in range(3):
+        times = [clock + k for k in range(1, 9)]
+        rows = [(f"p{p}", at, *r.choice([(1, False), (2, False), (None, True)])) for p in range(30) for at in times if r.random() < 0.4]
+        told, clock = {}, max(at for _, at, _, _ in rows)
+        for path, at, *what in sorted(rows, key=lambda x: x[:2]):
+            run = held.get(path)
+            if run is None or run[0] != what:
+                if run and not run[2] and run[1] + wait <= at:
+                    told[path] = (run[1], *run[0])
+                held[path] = [what, at, False]
+        for path, run in held.items():
+            if not run[2] and run[1] + wait <= clock:
+                told[path], run[2] = (run[1], *run[0]), True
+        sightings = spark.createDataFrame([(p, T + dt.timedelta(seconds=at), size, None, gone) for p, at, size, gone in rows], tree.SIGHTING)
+        seen = tree.next_seen(seen, sightings, float(wait)).localCheckpoint()
+        second = lambda t: round((t.astimezone(dt.timezone.utc) - T).total_seconds())
+        got = seen.collect()
+        assert {x.path: [[x.size, x.gone], second(x.since), x.told] for x in got} == held
+        assert {x.path: (second(x.settled.at), x.settled.size, x.settled.gone) for x in got if x.settled} == told
+
+
 def test_external_entries(spark, tmp_path):
     root = str(tmp_path)
     write(root, "one.md", "# One\n**来源**: a.md\n\nSome text\n\n最后更新: 2024-05-01\n"), write(root, ".git/two.md", "# Two"), write(root, ".x/three.md", "# Three")
